@@ -66,7 +66,8 @@ def _signed(x: int) -> int:
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links within one bucket: from each fingerprint to the smallest it reaches."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    bits = fps.view(np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     root = np.full(len(fps), -1)
     for i in range(len(fps)):
         if root[i] < 0:
