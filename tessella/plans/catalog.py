@@ -1,4 +1,6 @@
 """All registered queries with their SQL."""
 
-QUERIES, ORACLE = {}, {}
-FLAGSHIP = ""
+from . import q_lists  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
+
+FLAGSHIP = "sort4_list"
