@@ -13,7 +13,8 @@ EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "heic", "webp")
 
 
 def file_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, content: bool = False) -> DataFrame:
-    """path, folder, name, modified, length (and content) of a tree's files with a wanted extension."""
+    """path, folder, name, modified, length (and content) of a tree's files with a wanted extension. Like all of Spark's
+    readers it passes over files and folders whose names start with an underscore or a dot."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     out = files.where(ext.isin(*extensions)).select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("modificationTime").alias("modified"), "length", "content")
