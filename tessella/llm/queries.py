@@ -37,5 +37,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": _on("documents", simhash.report),
 }
 
-_WS = r"[\x20\x09-\x0D]"
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op3_line_dedup": r"""
+with base as (select row_number() over () as r, doc_id, source, text from documents),
+lines as (select r, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from base where text is not null),
+totals as (select source, count(*) as total from base group by 1),
+counts as (select source, line, count(distinct r) as pages from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1, 2),
+gone as (select c.source, c.line from counts c join totals t on c.source is not distinct from t.source where pages >= 3 and pages > 0.02 * total),
+marked as (select l.*, g.line is not null as x from lines l left join gone g on l.source is not distinct from g.source and l.line = g.line),
+put as (select r, coalesce(string_agg(line, chr(10) order by p) filter (where not x), '') as kept, count(*) as n, count(*) filter (where x) as m from marked group by 1)
+select doc_id, case when text is null then null else kept end as text, coalesce(n, 0) as n_lines, coalesce(m, 0) as n_removed from base left join put using (r)""",
+    "op5_warc": r"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first from p group by 1),
+c as (select p.h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((('0x' || substr(p.h, cast(5 * i + 1 as int), 5))::bigint >> cast(15 - 5 * k as int)) & 31) + 1 as int), 1), '' order by i, k) as digest
+from (select distinct h from p) p, (select unnest(range(8)) as i), (select unnest(range(4)) as k) group by 1)
+select page_id, strlen(html) as payload_bytes, digest as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from p join f using (h) join c using (h)""",
+    "op6_substring_dedup": rf"""
+with w as (select doc_id, unnest({_WORDS}) as w, generate_subscripts({_WORDS}, 1) as p from documents),
+g as (select doc_id, p, string_agg(w, ' ') over (partition by doc_id order by p rows between current row and 12 following) as s, count(*) over (partition by doc_id order by p rows between current row and 12 following) as n from w),
+k as (select s, min(doc_id) as first from g where n = 13 group by 1),
+hit as (select g.doc_id, g.p from g join k using (s) where n = 13 and first < g.doc_id),
+covered as (select distinct doc_id, p + i as p from hit, (select unnest(range(13)) as i)),
+put as (select w.doc_id, count(*) as n_words, count(c.p) as n_removed, coalesce(string_agg(w, ' ' order by w.p) filter (where c.p is null), '') as kept from w left join covered c on w.doc_id = c.doc_id and w.p = c.p group by 1)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join put using (doc_id)""",
+    "op9_quality": rf"""
+with m as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
+u as (select doc_id, unnest(w) as a, generate_subscripts(w, 1) as p from m),
+g as (select doc_id, p, a, lead(a) over o as b, lead(a, 2) over o as c from u window o as (partition by doc_id order by p)),
+r as (select doc_id, p, count(*) over (partition by doc_id, a, b, c) as n from g where c is not null),
+v as (select doc_id, count(distinct p + i) as n_repeat_words from r, (select unnest(range(3)) as i) where n > 1 group by 1),
+l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from m) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+q as (select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, length(regexp_replace(t, '\PL+', '', 'g')) as n_letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) as n_upper from m left join v using (doc_id) left join l using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_letters < 3 * word_chars or 10 * n_dup_lines > 5 * n_lines or (n_letters > 0 and 10 * n_upper > 7 * n_letters)) as kept from q""",
+}
