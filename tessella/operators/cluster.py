@@ -85,7 +85,7 @@ def by_centroid(members: DataFrame, cluster: str, id_col: str, vector: str) -> D
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy("distance", "id")))
 
 
-def ordered(sizes: DataFrame, size: str = "n", small: int = 3) -> list:
+def ordered(size: str = "n", small: int = 3) -> list:
     """Sort key: large clusters first, those under `small` last."""
     return [F.col(size) < small, F.col(size).desc()]
 
