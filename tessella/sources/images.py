@@ -11,6 +11,7 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: EXIF tags.
 MAKE, MODEL, ORIENTATION, EXIF_IFD, GPS_IFD, TAKEN = 0x10F, 0x110, 0x112, 0x8769, 0x8825, 0x9003
@@ -76,10 +77,24 @@ def header(data: bytes) -> dict[str, object]:
     raise ValueError("no frame in the file")
 
 
+_KINDS = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A schema of "name type, ..."; a DDL string would ask for a session when this module is imported."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (f.split() for f in fields.split(", "))])
+
+
+def _frame(rows: list[dict], fields: str) -> pd.DataFrame:
+    """Columns in the schema's types, missing values null."""
+    kinds = dict(f.split() for f in fields.split(", "))
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype={"int": "Int32", "double": "float64", "string": object}[k]) for n, k in kinds.items()})
+
+
 PROBE = "width int, height int, orientation int, display_width int, display_height int, make string, model string, taken string, latitude double, longitude double, error string"
 
 
-@F.pandas_udf(PROBE)
+@F.pandas_udf(_struct(PROBE))
 def probe(content: pd.Series) -> pd.DataFrame:
     """Header fields of image files; `error` says why there are none."""
     rows = []
@@ -91,11 +106,7 @@ def probe(content: pd.Series) -> pd.DataFrame:
         except Exception as e:  # noqa: BLE001  one bad file must not end the batch
             x = {"error": str(e) or type(e).__name__}
         rows.append(x)
-    names = [c.split()[0] for c in PROBE.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    for c in ("width", "height", "orientation", "display_width", "display_height"):
-        out[c] = out[c].astype("Int32")
-    return out
+    return _frame(rows, PROBE)
 
 
 def decode_pgm(data: bytes) -> np.ndarray:
@@ -144,7 +155,10 @@ def features(grey: np.ndarray) -> dict[str, float]:
     return {"mean": g.mean(), "spread": g.std(), "sharpness": edges.var(), "ink": float((g < mid - 40).mean()), "low": low, "median": mid, "high": high}
 
 
-@F.pandas_udf("phash string, dhash string, dhash64 string, mean double, spread double, sharpness double, ink double, low double, median double, high double, error string")
+FACTS = "phash string, dhash string, dhash64 string, mean double, spread double, sharpness double, ink double, low double, median double, high double, error string"
+
+
+@F.pandas_udf(_struct(FACTS))
 def pixel_facts(content: pd.Series) -> pd.DataFrame:
     """Hashes and features of PGM files."""
     rows = []
@@ -154,4 +168,4 @@ def pixel_facts(content: pd.Series) -> pd.DataFrame:
             rows.append({"phash": cosine_hash(g), "dhash": difference_hash(g, 16), "dhash64": difference_hash(g, 8), **features(g)})
         except Exception as e:  # noqa: BLE001
             rows.append({"error": str(e) or type(e).__name__})
-    return pd.DataFrame(rows, columns="phash dhash dhash64 mean spread sharpness ink low median high error".split())
+    return _frame(rows, FACTS)
