@@ -74,7 +74,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, total: in
 class WordHasher:
     """64-bit hashes of words, remembering a bounded number of them."""
 
-    def __init__(self, seed: int = 0, room: int = 400_000):
+    def __init__(self, seed: int = 0, room: int = 200_000):
         import xxhash
 
         self.hash, self.seed, self.room, self.known = xxhash.xxh64_intdigest, seed, room, {}
@@ -125,17 +125,16 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Batches joined up to so many rows each."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `size` bytes of a text column each, at least a row."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")), lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:

@@ -27,11 +27,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix, packed, scratch, text_or_empty, unpacked, written
+from .common import WordHasher, mix, packed, portions, scratch, text_or_empty, unpacked, written
 
 LAST = (1 << 63) - 1
-CHUNK_CHARS = 24_000_000
+#: Text that a task hashes at once, that one merge bucket stands for, and that one part of the final pass holds.
+CHUNK_CHARS = 6_000_000
 BUCKET_CHARS = 12_000_000
+PART_CHARS = 12_000_000
 BASE, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ENTRIES = "kind int, grp int, a binary, b binary, c binary"
 
@@ -172,16 +174,9 @@ class WindowIndex:
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = WordHasher()
-            held, chars = [], 0
-            for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    held.append(b.slice(lo, 256))
-                    chars += held[-1].column(1).nbytes
-                    if chars >= CHUNK_CHARS:
-                        yield _batch(_entries(pa.Table.from_batches(held), hasher, size, buckets, parts))
-                        held, chars = [], 0
-            if held:
-                yield _batch(_entries(pa.Table.from_batches(held), hasher, size, buckets, parts))
+            for whole in batches:
+                for b in portions(whole, 1, CHUNK_CHARS):
+                    yield _batch(_entries(pa.Table.from_batches([b]), hasher, size, buckets, parts))
 
         def merge(table: pa.Table) -> pa.Table:
             if table.column("kind")[0].as_py() == 1:
@@ -273,7 +268,7 @@ def deduplicated(docs: DataFrame, size: int = 13, first_share: float = 0.25) ->
     low, high, chars = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text"))).first()
     chars = chars or 0
     buckets = 1 << max(4, int(chars // BUCKET_CHARS).bit_length())
-    parts = max(12, int(chars // CHUNK_CHARS) + 1)
+    parts = max(12, int(chars // PART_CHARS) + 1)
     index = WindowIndex(docs.sparkSession, size=size, buckets=buckets)
     cut = low + int((high - low) * first_share) if low is not None else 0
     early = F.coalesce(F.col("doc_id") <= cut, F.lit(False))
