@@ -292,6 +292,24 @@ def test_wrappers(spark):
     assert got[14].text == "a <b> © éA"
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<body class='has-sidebar'><div id='content' class='with-comments'>text</div><div class='cookieBanner'>c</div></body>", "text"),
+        ("<article><p>a</p><article class='comment'><p>reader</p></article></article>", "a"),
+        ("<main><h1>t</h1><article>b</article><div class='related-posts'>r</div></main>", "t\n\nb"),
+        ("<article><header><h1>t</h1></header>x<footer>f</footer></article><header>site</header>", "t\n\nx"),
+        ("<p>a<script>'<p>no</p>'</script>b</p><style>p{}</style><noscript>n</noscript>", "ab"),
+        ("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>d<td>e</table>", "a\n\nb\n\nc\n\nd\n\ne"),
+        ("<p title='a>b'>x &amp;lt; y&nbsp;z</p><!-- <p>no</p> --><p hidden>h</p><p>cut <a href='x", "x &lt; y z\n\ncut"),
+        ("a < b and c <3", "a < b and c <3"),
+        ("<textarea>form</textarea><select><option>1</select>t", "t"),
+    ],
+)
+def test_main_text(source, want):
+    assert wrappers.main_text(source) == want
+
+
 def test_wrapper_expressions():
     w = wrappers.fold([f"<div><p>Always</p><h1>t{i}</h1><ul>{'<li>x%d</li>' % i * (i + 1)}</ul>{'<i>opt</i>' if i % 2 else ''}</div>" for i in range(4)])
     text = wrappers.regular_expression(w)
