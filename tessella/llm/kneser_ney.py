@@ -23,11 +23,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix, packed, scratch, text_or_empty, unpacked, written
+from .common import WordHasher, mix, packed, portions, scratch, text_or_empty, unpacked, written
 
 BEGIN, END = np.uint64(1), np.uint64(2)
-CHUNK_CHARS = 24_000_000
-BUCKET_CHARS = 10_000_000
+#: Text that a task counts or scores at once, and that one bucket stands for.
+CHUNK_CHARS = 5_000_000
+BUCKET_CHARS = 8_000_000
 SPREAD = np.uint64(8)
 
 
@@ -41,6 +42,11 @@ def bucket_of(a: np.ndarray, b: np.ndarray, short: np.ndarray, buckets: int) ->
     return (mix(a + spread * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(buckets)).astype(np.int64)
 
 
+def placed(grp: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One number to sort by: the group, then the key but for its last bits."""
+    return grp.astype(np.uint64) << np.uint64(44) | keys >> np.uint64(20)
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
@@ -96,7 +102,7 @@ def _load(path: str) -> list[np.ndarray]:
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
     return (k[at], *[np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values])
@@ -124,13 +130,13 @@ def train(docs: DataFrame, path: str | None = None) -> dict:
             a, b, s = a[real], b[real], short[:-1][real]
             grp = bucket_of(a, b, s, buckets)
             key = pair_hash(a, b)
-            order = np.lexsort((key, grp))
+            order = np.argsort(key)
             key = key[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff(np.append(at, len(key)))
             pick = order[at]
             a, b, grp = a[pick], b[pick], grp[pick]
-            by_word = np.lexsort((b, a, grp))
+            by_word = np.argsort(placed(grp, a))
             a, b, grp, n = a[by_word], b[by_word], grp[by_word], n[by_word]
             cut = np.flatnonzero(np.diff(grp)) + 1
             rows = [[], [], [], []]
@@ -157,7 +163,7 @@ def train(docs: DataFrame, path: str | None = None) -> dict:
         b = np.concatenate([unpacked(x) for x in table.column("b").to_pylist()])
         n = np.concatenate([unpacked(x) for x in table.column("n").to_pylist()]).astype(np.int64)
         key = pair_hash(a, b)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         n = np.add.reduceat(n[order], at)
         pick = order[at]
@@ -232,7 +238,7 @@ class Model:
 
     def _look(self, kind: str, grp: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros((width, len(keys)), np.float64)
-        order = np.lexsort((keys, grp))
+        order = np.argsort(placed(grp, keys))
         for some in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1) if len(order) else []:
             arrays = self._file(f"{kind}-{int(grp[some[0]]):05d}")
             if arrays and len(arrays[0]):
@@ -259,11 +265,14 @@ class Model:
         real = w[1:] != BEGIN
         first, second = place[:-1][real], place[1:][real]
         pair = first.astype(np.int64) * len(uniq) + second
-        kinds, at, again = np.unique(pair, return_index=True, return_inverse=True)
+        order = np.argsort(pair)
+        new = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])
+        at, again = order[new], np.empty(len(pair), np.int64)
+        again[order] = np.cumsum(new) - 1
         a, b = uniq[first[at]], uniq[second[at]]
         n = self._look("pairs", bucket_of(a, b, short[:-1][real][at], self.buckets), pair_hash(a, b), 1)[0]
         e = (n == 1) * e1 + (n == 2) * e2 + (n > 2) * e3
-        own = np.divide(n - e, total[first[at]], out=np.zeros(len(kinds)), where=total[first[at]] > 0)
+        own = np.divide(n - e, total[first[at]], out=np.zeros(len(at)), where=total[first[at]] > 0)
         score = np.log10(own + back[first[at]] * low[second[at]])[again]
         starts = np.concatenate([[0], np.cumsum(n_words + 1)[:-1]])
         known = np.add.reduceat((c[second] > 0).astype(np.int64), starts)
@@ -277,8 +286,7 @@ def scored(docs: DataFrame, about: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hasher = Model(about), WordHasher()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for b in portions(whole, 1, CHUNK_CHARS):
                 rows = model.scores(b.column(1).to_pylist(), hasher)
                 n, known, base, score = zip(*rows) if rows else ([],) * 4
                 out = [held_out(x) for x in b.column(0).to_pylist()]
