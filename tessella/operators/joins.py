@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,29 @@ from ..functions.values import cosine_distance, overlap_area
 BROADCAST_ROWS = 50_000
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count proves it small."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint; an error if it isn't small, where no equi-join could stand in."""
+    if not is_small(df, rows):
+        raise ValueError(f"over {rows} rows: give them in parts")
+    return F.broadcast(df)
+
+
+def in_blocks(queries: DataFrame, key: str, each: Callable[[DataFrame], DataFrame], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The union of `each` over blocks of queries of about so many rows, by a hash of their key."""
+    n = -(-queries.count() // rows)
+    if n <= 1:
+        return each(F.broadcast(queries))
+    block = F.pmod(F.xxhash64(key), F.lit(2 * n))
+    return reduce(DataFrame.unionByName, [each(bounded(queries.where(block == i), 2 * rows)) for i in range(2 * n)])
 
 
 def exact_or_alike(terms: DataFrame, names: DataFrame, exact: int = 100, alike: int = 50) -> DataFrame:
@@ -33,7 +56,7 @@ def in_span(rows: DataFrame, lo: str, hi: str, spans: DataFrame, inside: int = 7
     """Rows whose closed span overlaps that of a query (ix, q_lo, q_hi; null bounds are open), scored by containment.
     The query side is a handful of terms."""
     a, b, c, d = F.col(lo), F.col(hi), F.col("q_lo"), F.col("q_hi")
-    j = rows.join(small(spans), dates.overlaps(a, b, c, d) & a.isNotNull())
+    j = rows.join(bounded(spans, 1_000), dates.overlaps(a, b, c, d) & a.isNotNull())
     return j.withColumn("score", F.when(dates.contained(a, b, c, d), inside).otherwise(across))
 
 
@@ -48,18 +71,21 @@ def by_year(rows: DataFrame, lo: str, hi: str, spans: DataFrame) -> DataFrame:
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, most: float | None = None) -> DataFrame:
     """(query_id, ref_id, distance, rank): cosine top-k of every query among refs (id, vector), ids breaking ties.
-    Queries are few; refs are scanned once and each task keeps its own k per query before anything is shuffled."""
-    q = small(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("__q")))
-    d = refs.join(q).select("query_id", F.col("id").alias("ref_id"), cosine_distance(F.col("__q"), F.col("vector")).alias("distance"))
-    if most is not None:
-        d = d.where(F.col("distance") <= most)
+    Queries go in blocks; refs are scanned once a block, and each task keeps its own k per query before a shuffle."""
     w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def block(q: DataFrame) -> DataFrame:
+        d = refs.join(q).select("query_id", F.col("id").alias("ref_id"), cosine_distance(F.col("__q"), F.col("vector")).alias("distance"))
+        if most is not None:
+            d = d.where(F.col("distance") <= most)
+        return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return in_blocks(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("__q")), "query_id", block, 2_000)
 
 
 def nearest_owner(queries: DataFrame, prototypes: DataFrame, k: int = 1, most: float | None = None) -> DataFrame:
     """(query_id, owner, distance, rank) over prototypes (owner, vector): an owner's distance is that of its nearest."""
-    p = small(prototypes.select("owner", F.col("vector").alias("__p")))
+    p = bounded(prototypes.select("owner", F.col("vector").alias("__p")))
     d = queries.join(p).groupBy(F.col("id").alias("query_id"), "owner").agg(F.min(cosine_distance(F.col("vector"), F.col("__p"))).alias("distance"))
     if most is not None:
         d = d.where(F.col("distance") <= most)
@@ -69,7 +95,7 @@ def nearest_owner(queries: DataFrame, prototypes: DataFrame, k: int = 1, most: f
 
 def nearest_hash(queries: DataFrame, refs: DataFrame, distance: Column, most: int) -> DataFrame:
     """The closest ref (r_id) of each query (q_id) by a distance over both sides' columns, if within `most`."""
-    j = queries.join(small(refs)).withColumn("d", distance).where(F.col("d") <= most)
+    j = queries.join(bounded(refs)).withColumn("d", distance).where(F.col("d") <= most)
     return j.groupBy("q_id").agg(F.min_by("r_id", F.struct("d", "r_id")).alias("r_id"), F.min("d").alias("d"))
 
 

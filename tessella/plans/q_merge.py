@@ -232,7 +232,7 @@ def resolve_and_undo(t):
 
 @query("fx15_cosine", "select vec_id, round(greatest(1 - list_dot_product(cast(embedding as double[]), q) / (sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) * sqrt(list_dot_product(q, q))), 0.0), 6) as d from embeddings, (select cast(embedding as double[]) as q from embeddings where vec_id = 0)")
 def cosine(t):
-    q = joins.small(t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    q = joins.bounded(t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q")))
     return t.embeddings.join(q).select("vec_id", F.round(values.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("d"))
 
 

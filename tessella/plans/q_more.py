@@ -109,11 +109,11 @@ def merged(t):
     return graph.merge_entities(faces, v, 7, 8)[0].groupBy(F.col("person_id").alias("o_custkey")).agg(F.count("*").alias("n"))
 
 
-@query("api7_selection", "select count(*) as n, cast(sum(o_totalprice) as double) as total from orders where year(o_orderdate) = 1994 and o_orderstatus = 'F'")
+@query("api7_selection", "select count(*) as n, round(sum(o_totalprice), 2) as total from orders where year(o_orderdate) = 1994 and o_orderstatus = 'F'")
 def selection(t):
     f = predicates.Filters.parse("year=1994")
     chosen = predicates.apply_filters(t.orders, f, predicates.Columns(id="o_orderkey", date="o_orderdate")).where("o_orderstatus = 'F'")
-    return chosen.agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return chosen.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("api8_gather", "select o_orderkey, c_name, n_name, coalesce(k, 0) as lines from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey left join (select l_orderkey, count(*) as k from lineitem group by 1) on l_orderkey = o_orderkey where year(o_orderdate) = 1996")
@@ -171,9 +171,9 @@ def rules(t):
     return t.documents.select("doc_id", first.alias("hint"))
 
 
-@query("fx21_levels", "select l_returnflag, quantile_cont(l_extendedprice, 0.01) as low, quantile_cont(l_extendedprice, 0.5) as mid, quantile_cont(l_extendedprice, 0.99) as high from lineitem group by 1")
+@query("fx21_levels", "select l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 4) as low, round(quantile_cont(l_extendedprice, 0.5), 4) as mid, round(quantile_cont(l_extendedprice, 0.99), 4) as high from lineitem group by 1")
 def levels(t):
-    p = lambda q: F.percentile("l_extendedprice", q)
+    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
     return t.lineitem.groupBy("l_returnflag").agg(p(0.01).alias("low"), p(0.5).alias("mid"), p(0.99).alias("high"))
 
 

@@ -36,7 +36,7 @@ def phonetic(t):
 )
 def trigram(t):
     a = t.part.select("p_type").distinct()
-    p = a.select(F.col("p_type").alias("x")).join(joins.small(a.select(F.col("p_type").alias("y"))), F.col("x") < F.col("y"))
+    p = a.select(F.col("p_type").alias("x")).join(joins.bounded(a.select(F.col("p_type").alias("y"))), F.col("x") < F.col("y"))
     return p.select("x", "y", F.round(text.trigram_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
