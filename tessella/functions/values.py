@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def limbs(hexa: Column, n: int = 4) -> Column:
@@ -23,21 +27,26 @@ def bands(hexa: Column, n: int = 16, digits: int = 4) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), F.substring(hexa, digits * i + 1, digits).alias("value")) for i in range(n)])
 
 
-def simhash256(words: Column) -> Column:
-    """256-bit SimHash of an array of words as 64 hexadecimal digits, from four seeds of xxhash64."""
-    out = []
-    for seed in range(4):
-        out.append(F.lower(F.lpad(F.hex(_majority(_counts(words, seed), F.size(words))), 16, "0")))
-    return F.concat(*out)
-
-
-def _counts(words: Column, seed: int) -> Column:
-    return F.aggregate(words, F.array_repeat(F.lit(0), 64), lambda acc, w: F.transform(acc, lambda c, i: c + F.call_function("getbit", F.xxhash64(F.lit(seed), w), i).cast("int")))
-
-
-def _majority(counts: Column, n: Column) -> Column:
-    ones = F.transform(counts, lambda c, i: F.when(c * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(ones, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+@F.pandas_udf(T.StringType())
+def simhash256(words: pd.Series) -> pd.Series:
+    """256-bit SimHash of arrays of words as 64 hexadecimal digits: a 256-bit digest per different word, a bit where
+    over half of the words have it. A UDF, as summing 256 bits per word in nested lambdas is far slower."""
+    known: dict[str, bytes] = {}
+
+    def one(ws: object) -> str:
+        ws = [] if ws is None else list(ws)  # type: ignore[call-overload]
+        for w in ws:
+            if w not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[w] = hashlib.blake2b(w.encode(), digest_size=32).digest()
+        ones = np.zeros(256, np.int64)
+        for i in range(0, len(ws), 10_000):
+            digests = b"".join(known.get(w) or hashlib.blake2b(w.encode(), digest_size=32).digest() for w in ws[i : i + 10_000])
+            ones += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
+        return np.packbits(ones * 2 > len(ws)).tobytes().hex()
+
+    return words.map(one)
 
 
 def dot(a: Column, b: Column) -> Column:
