@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker remembers; the memory is emptied when full, which changes no result.
-ROOM = 200_000
+ROOM = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -74,30 +74,34 @@ class Codec:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.find = regex.compile(pattern).findall
-        self.of_byte = [ord(c) for c in byte_characters()]
+        self.of_byte = dict(enumerate(byte_characters()))
         self.tokens, self.known = tokens, {}
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > ROOM:
-            self.known.clear()
-        as_bytes = dict(enumerate(self.of_byte))
-        mapped = [t.encode().decode("latin-1").translate(as_bytes) for t in new]
+        mapped = [t.encode().decode("latin-1").translate(self.of_byte) for t in new]
+        pack = struct.pack
         for t, ids in zip(new, self.model.encode(mapped, out_type=int, num_threads=1)):
-            self.known[t] = struct.pack(f"<{len(ids)}I", *ids)
+            self.known[t] = pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        parts = self.find(text)
+        parts, known = self.find(text), self.known
         try:
-            return b"".join(map(self.known.__getitem__, parts))
+            return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            self._learn([t for t in dict.fromkeys(parts) if t not in self.known] if len(self.known) < ROOM // 2 else list(dict.fromkeys(parts)))
-        if all(map(self.known.__contains__, parts)):
-            return b"".join(map(self.known.__getitem__, parts))
-        out = []  # more new pre-tokens than are remembered at once
-        for i in range(0, len(parts), ROOM // 4):
-            some = parts[i : i + ROOM // 4]
-            self._learn(list(dict.fromkeys(some)))
-            out += map(self.known.__getitem__, some)
+            pass
+        different = dict.fromkeys(parts)
+        new = [t for t in different if t not in known]
+        if len(known) + len(new) > ROOM:
+            known.clear()
+            new = list(different)
+        if len(new) <= ROOM:
+            self._learn(new)
+            return b"".join(map(known.__getitem__, parts))
+        out = []  # more different pre-tokens in one text than are remembered at once
+        for i in range(0, len(parts), ROOM):
+            known.clear()
+            self._learn(list(dict.fromkeys(parts[i : i + ROOM])))
+            out += map(known.__getitem__, parts[i : i + ROOM])
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
