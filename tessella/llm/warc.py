@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import scratch, skew_join, written
 
-BUCKETS = 4096
+#: Ranges of keys whose sizes the driver sees, and so the most shards there can be.
+BUCKETS = 1 << 14
+LEAST_SHARD, MOST_SHARD = 16 << 20, 1 << 30
 #: Payloads with copies are broadcast up to this many rows of about 60 bytes.
 BROADCAST_ROWS = 200_000
 DATE = "1970-01-01T00:00:00Z"
@@ -109,21 +111,26 @@ def resolved(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", "size", F.when(other, F.col("first")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, shard_bytes: int = 64 << 20, roll_bytes: int = 16 << 20, min_bytes: int = 0) -> DataFrame:
-    """Writes the archive below path and returns its manifest (shard, file, temporary, records, bytes)."""
+def write(pages: DataFrame, path: str, shard_bytes: int | None = None, roll_bytes: int = 128 << 20, min_bytes: int = 0) -> DataFrame:
+    """Writes the archive below path and returns its manifest (shard, file, temporary, records, bytes).
+
+    Shards hold shard_bytes of payloads (by default a thousandth of all, within bounds), so that they follow from the
+    rows and not from the cluster."""
     spark = pages.sparkSession
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     low, high = narrow.agg(F.min("page_id"), F.max("page_id")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // BUCKETS))
     bucket = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)), F.lit(BUCKETS)).cast("int")
-    sizes = {r[0]: r[1] for r in narrow.groupBy(bucket.alias("b")).agg(F.sum("size")).collect()}  # 4097 rows at most
+    sizes = sorted(narrow.groupBy(bucket.alias("b")).agg(F.sum("size")).collect())  # a row per bucket at most
+    shard_bytes = shard_bytes or min(max(sum(n for _, n in sizes) // 1000, LEAST_SHARD), MOST_SHARD)
     shard_of, filled, shard = [], 0, 0
-    for b in range(BUCKETS + 1):
+    for b, n in sizes:
         if filled >= shard_bytes:
             shard, filled = shard + 1, 0
-        shard_of.append(shard)
-        filled += sizes.get(b, 0)
-    rows = resolved(pages, min_bytes).withColumn("shard", F.get(F.array(*[F.lit(s) for s in shard_of]), bucket))
+        shard_of.append((b, shard))
+        filled += n
+    shards = spark.createDataFrame(shard_of, "__b int, shard int")
+    rows = resolved(pages, min_bytes).withColumn("__b", bucket).join(F.broadcast(shards), "__b")
     by_key = F.col("page_id").asc_nulls_last()
     rows = rows.repartitionByRange(shard + 1, "shard").sortWithinPartitions("shard", by_key, "url", F.xxhash64("html"))
 
