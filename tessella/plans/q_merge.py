@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import aggregates, cluster, graph, joins, merge
+from ..session import spread
 from ..sources import files
 from .registry import query
 
@@ -180,7 +181,7 @@ def clear_fact(t):
 
 def _hashes(t):
     w = F.filter(F.split(F.lower("text"), "[^a-zà-ÿ0-9]+"), lambda x: x != "")
-    return t.documents.select("doc_id", values.simhash256(w).alias("hash"), "n_chars")
+    return spread(t.documents).select("doc_id", values.simhash256(w).alias("hash"), "n_chars")
 
 
 @query("join4_hamming_pairs")

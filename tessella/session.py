@@ -18,6 +18,13 @@ def session(name: str = "tessella", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=DEFAULTS | settings).getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan in at least as many partitions as there are cores: small files of one row group would else keep
+    one core busy. Larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 class Tables:
     """Tables of one folder, read lazily: t = Tables(spark, path); t.orders."""
 
