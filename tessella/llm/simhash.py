@@ -18,8 +18,9 @@ from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, skew_join, written
@@ -53,6 +54,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return df.select(F.col(id_col).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {dict(df.dtypes)[id_col]}, fp long")
 
 
+def fingerprint_column(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t if isinstance(t, str) else None)).astype("int64")
+
+    return F.pandas_udf(run, "long")(text)
+
+
 def covering_masks(radius: int) -> list[int]:
     """The bits that each table keeps. Bits take the non-zero vectors in turn, a balanced assignment."""
     size = radius + 1
@@ -125,7 +133,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id of every row of df; components of links within the radius."""
+    """doc_id, fp, root and component_id of every row of df; components of links within the radius, equal in root."""
     docs = written(fingerprints(df, id_col, text), "fingerprints")
     distinct = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     total = docs.count()
@@ -133,8 +141,8 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: i
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
-    of_fp = skew_join(rooted, written(named, "named"), "root", "m", distinct.count(), "inner").select("fp", "n", "component_id")
-    return skew_join(docs, written(of_fp, "of_fp"), "fp", "n", total, "inner").select("doc_id", "fp", "component_id")
+    of_fp = skew_join(rooted, written(named, "named"), "root", "m", distinct.count(), "inner").select("fp", "n", "root", "component_id")
+    return skew_join(docs, written(of_fp, "of_fp"), "fp", "n", total, "inner").select("doc_id", "fp", "root", "component_id")
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -144,10 +152,13 @@ def report(df: DataFrame) -> DataFrame:
 def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df with the smallest id of their component; of equal ids in one component, one row stays.
 
-    Rows without an id stay only where their whole component has none, one of each.
+    Rows without an id stay only where their whole component has none, one of each component; rows of one id in
+    different components all stay.
     """
     had = df.columns
     known = grouped(df, id_col, text)
-    keep = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__k"), F.col("fp").alias("__fp")).distinct()
-    out = df.join(keep, df[id_col].eqNullSafe(keep["__k"]), "left_semi")
-    return out.dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in had])
+    own = known.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = own.groupBy("root").agg(F.first("doc_id").alias("__k"), F.min("fp").alias("__fp")).drop("root")
+    marked = df.withColumn("__own", fingerprint_column(F.col(text)))
+    out = marked.join(keep, marked[id_col].eqNullSafe(keep["__k"]) & (marked["__own"] == keep["__fp"]), "left_semi")
+    return out.dropDuplicates([id_col, "__own"]).select(*[F.col(f"`{c}`") for c in had])

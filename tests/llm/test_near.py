@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.llm import brute
-from tessella.llm import near
+from tessella.llm import near, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -109,3 +109,10 @@ def test_pipeline_drops_near_copies(spark):
     left = [x for x in cleaned if x[0] in stay]
     bad = {d for d, _ in brute.contaminated(left, items)}
     assert {r.doc_id: r.decoded_sha256 for r in c.run(spark, sf).collect()} == {i: brute.sha(t) for i, t in left if i not in bad}
+
+
+def test_simhash_keeps_a_row_of_each_component(spark):
+    a, b = variants(1, 100, 0, 1)[0], variants(1, 100, 0, 2)[0]
+    rows = [(None, a), (None, a), (None, b), (7, a[::-1]), (7, b[::-1])]
+    df = simhash.representatives(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r.doc_id or 0, r.text) for r in df.collect()) == sorted([(0, a), (0, b), (7, a[::-1]), (7, b[::-1])])
