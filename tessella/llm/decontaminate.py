@@ -1,12 +1,13 @@
 """Benchmark decontamination with SimHash windows and a multi-index over Hamming blocks.
 
 Item-sized windows of documents are fingerprinted from their words. The 64 bits are cut into eight blocks; a pair
-within 15 bits has at least one block that differs in at most one bit, so each item is stored under its blocks
-and all their one-bit neighbours, and every window within the radius meets it there. Candidates are then verified by
-the exact weighted similarity of their five-word shingles (weight: the shingle's length, times its count).
+within 23 bits has at least one block that differs in at most two bits, so each item is stored under its blocks
+and all their neighbours of one and two bits, and every window within the radius meets it there. Candidates are then verified
+by the exact weighted similarity of their five-word shingles (weight: the shingle's length, times its count). A window as
+similar as 0.8 differs in nine bits on average and beyond 23 about once in a million.
 
-Windows are only fingerprinted where verification can succeed: a window as similar as `threshold` shares at least
-that part of the item's shingles, so a document needs that many of them, and windows start where a shared
+Windows are only fingerprinted where verification can succeed: what a window shares with an item weighs at least
+`threshold` times the item, so a document needs shingles of the item of that weight, and windows start where a shared
 shingle puts the item's start.
 
 Words are runs of letters and digits in lower case. Items of fewer than five words have no shingle and match
@@ -20,25 +21,29 @@ from pyspark.sql import functions as F
 
 from .common import null_safe, text_or_empty, written
 
-SHINGLE, RADIUS, BLOCKS = 5, 15, 8
-#: Item tables, and documents with candidates, are broadcast up to this many rows.
-BROADCAST_ROWS = 200_000
+SHINGLE, RADIUS, BLOCKS = 5, 23, 8
+#: Item tables, and documents with candidates, are broadcast up to this many bytes, and shuffled beyond.
+BROADCAST_BYTES = 32 << 20
 
 
 def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows, of 64 bytes and what `size` says, are proven few enough."""
+    total = df.agg(F.sum(F.lit(64).cast("long") + (size if size is not None else F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def _shingle_rows(df: DataFrame, keep: list[str], w: str = "w") -> DataFrame:
-    """keep, pos, h: a row per shingle. Shifted copies of the words are zipped and generated, all in compiled code."""
+def _shingle_rows(df: DataFrame, keep: list[str], w: str = "w", weights: bool = False) -> DataFrame:
+    """keep, pos, h (and weight, its length): a row per shingle. Shifted copies of the words are zipped and generated, all in
+    compiled code."""
     n = F.greatest(F.size(w) - SHINGLE + 1, F.lit(0))
     zipped = F.arrays_zip(*[F.slice(w, F.lit(i + 1), n).alias(f"s{i}") for i in range(SHINGLE)])
     rows = df.select(*keep, F.posexplode(zipped).alias("pos", "s"))
-    return rows.select(*keep, "pos", F.xxhash64(*[F.col(f"s.s{i}") for i in range(SHINGLE)]).alias("h"))
+    length = [F.length(F.concat_ws(" ", *[F.col(f"s.s{i}") for i in range(SHINGLE)])).cast("long").alias("weight")] if weights else []
+    return rows.select(*keep, "pos", F.xxhash64(*[F.col(f"s.s{i}") for i in range(SHINGLE)]).alias("h"), *length)
 
 
 def fingerprint(w: Column) -> Column:
@@ -54,11 +59,11 @@ def fingerprint(w: Column) -> Column:
 
 
 def _blocks(fp: str, near: bool) -> Column:
-    """Structs (block, value); with `near`, also each value's one-bit neighbours."""
-    out = []
+    """Structs (block, value); with `near`, also each value's neighbours of one and two bits."""
+    out, flips = [], sorted({1 << i | 1 << j for i in range(8) for j in range(8)}) if near else []
     for b in range(BLOCKS):
         value = F.shiftrightunsigned(fp, 8 * b).bitwiseAND(F.lit(255).cast("long"))
-        for flip in [0, *([1 << i for i in range(8)] if near else [])]:
+        for flip in [0, *flips]:
             out.append(F.struct(F.lit(b).alias("block"), value.bitwiseXOR(F.lit(flip).cast("long")).alias("value")))
     return F.explode(F.array(*out)).alias("k")
 
@@ -74,27 +79,33 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFr
     i = i.where(F.size("iw") >= SHINGLE).withColumns({"n": F.size("iw"), "item_key": F.xxhash64("iw")})
     i = written(i.withColumn("ifp", fingerprint(F.col("iw"))), "items")
     item_rows = _shingle_rows(i.select("item_key", "n", F.col("iw").alias("w")).dropDuplicates(["item_key"]), ["item_key", "n"])
-    item_rows = written(item_rows.withColumnRenamed("pos", "off"), "item-shingles")
+    # the weight of an item's shingle: its length, times its count
+    lengths = _shingle_rows(i.select("item_key", F.col("iw").alias("w")).dropDuplicates(["item_key"]), ["item_key"], weights=True)
+    weights = lengths.groupBy("item_key", "h").agg(F.sum("weight").alias("weight"))
+    item_rows = written(item_rows.withColumnRenamed("pos", "off").join(weights, ["item_key", "h"]), "item-shingles")
     d = docs.select(F.col("doc_id"), F.xxhash64(text_or_empty("text")).alias("text_key"), text_or_empty("text").alias("text"))
     rows = _shingle_rows(d.select("doc_id", "text_key", plain_words(F.col("text")).alias("w")), ["doc_id", "text_key"])
     hits = rows.join(_bounded(item_rows), "h")
-    # by item: enough different shingles, and where the item would start
-    starts = hits.groupBy("doc_id", "text_key", "item_key", "n").agg(F.count_distinct("h").alias("shared"), F.collect_set(F.col("pos") - F.col("off")).alias("starts"))
-    own = item_rows.groupBy("item_key").agg(F.count_distinct("h").alias("kinds"))
-    starts = starts.join(_bounded(own), "item_key").where(F.col("shared") >= F.ceil(F.col("kinds") * (2 * threshold - 1)))
-    places = starts.select("doc_id", "text_key", "n", F.explode("starts").alias("start")).distinct()
+    # by item: enough weight of different shingles, and where the item would start
+    places = hits.groupBy("doc_id", "text_key", "item_key", "n").agg(F.collect_set(F.struct("h", "weight")).alias("shared"), F.collect_set(F.col("pos") - F.col("off")).alias("starts"))
+    places = places.withColumn("shared", F.aggregate("shared", F.lit(0).cast("long"), lambda acc, x: acc + x["weight"]))
+    whole = weights.groupBy("item_key").agg(F.sum("weight").alias("whole"))
+    places = places.join(_bounded(whole), "item_key").where(F.col("shared") >= F.col("whole") * threshold)
+    places = places.select("doc_id", "text_key", "n", F.explode("starts").alias("start")).distinct()
     windows = written(places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("places")), "places")
-    found = null_safe(d, _bounded(windows), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    found = null_safe(d, _bounded(windows, F.size("places") * 16), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     found = found.select("doc_id", "text_key", plain_words(F.col("text")).alias("w"), "places")
     found = found.select("doc_id", "text_key", F.explode("places").alias("p"), "w").select("doc_id", "text_key", F.greatest("p.start", F.lit(0)).alias("start"), "p.n", "w")
     found = found.select("doc_id", "text_key", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("ww")).where(F.size("ww") >= SHINGLE)
     found = written(found.withColumn("fp", fingerprint(F.col("ww"))), "windows")
-    index = i.select("item_id", "ifp", "n", "iw", _blocks("ifp", True)).select("item_id", "ifp", "n", "iw", "k.block", "k.value")
+    index = i.select("item_id", "item_key", "ifp", "n", _blocks("ifp", True)).select("item_id", "item_key", "ifp", "n", "k.block", "k.value")
     probes = found.select("doc_id", "text_key", "start", "n", "fp", "ww", _blocks("fp", False)).select("doc_id", "text_key", "start", "n", "fp", "ww", "k.block", "k.value")
     close = probes.join(_bounded(index), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    close = close.dropDuplicates(["doc_id", "text_key", "start", "n", "item_id"])
+    close = close.dropDuplicates(["doc_id", "text_key", "start", "n", "item_id", "item_key"])
+    texts = i.select("item_key", "iw").dropDuplicates(["item_key"])
+    close = close.join(_bounded(texts, F.size("iw") * 24), "item_key")
     # exact similarity of the two bags of shingles
-    pair = ["doc_id", "text_key", "start", "n", "item_id"]
+    pair = ["doc_id", "text_key", "start", "n", "item_id", "item_key"]
     side = lambda col, a, b: close.select(*pair, F.explode(_joined_shingles(F.col(col))).alias("s"), F.lit(a).alias("a"), F.lit(b).alias("b"))
     bags = side("ww", 1, 0).unionByName(side("iw", 0, 1)).groupBy(*pair, "s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     weigh = F.length("s")
