@@ -1,10 +1,11 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers.
 
-Map tasks count the distinct bigrams of a chunk of text and deal them out by the hash of the first word. Each
-bucket becomes a file of two arrays, sorted bigram hashes and their counts; what the bucket knows of first and of
-second words goes on to a second set of buckets, by word, whose files hold sorted word hashes and, for each word, the
-count, the continuation count, and of the bigrams it starts the total and how many occur once, twice, more often.
-Files get their final names by renaming, so a repeated task writes the same again. Scoring maps the files.
+Map tasks count the distinct bigrams of a chunk of text and deal them out by the hash of both words, so that a frequent word
+fills no bucket. Each bucket becomes a file of two arrays, sorted bigram hashes and their counts; what the bucket knows of
+first and of second words goes on to a second set of buckets, by word, whose files hold sorted word hashes and, for each word,
+the count, the continuation count, and of the bigrams it starts the total and how many occur once, twice, more often.
+Files get their final names by renaming, so a repeated task writes the same again. Scoring maps the files; where the shared
+folder isn't mounted, a worker reads them and keeps LOADED_BYTES at most.
 
 A word is its 64-bit hash. Null texts are empty: they have the end token alone. A null id is hashed as an empty
 text, and so trains. Repeated rows count as often as they occur. An empty training set gives every token the uniform
@@ -29,17 +30,15 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 #: Text that a task counts or scores at once, and that one bucket stands for.
 CHUNK_CHARS = 5_000_000
 BUCKET_CHARS = 8_000_000
-SPREAD = np.uint64(8)
+LOADED_BYTES = 256 << 20
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b))
 
 
-def bucket_of(a: np.ndarray, b: np.ndarray, short: np.ndarray, buckets: int) -> np.ndarray:
-    """By the first word; short words start many different bigrams, so the second word spreads these further."""
-    spread = np.where(short, mix(b) % SPREAD, np.uint64(0))
-    return (mix(a + spread * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(buckets)).astype(np.int64)
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key) % np.uint64(buckets)).astype(np.int64)
 
 
 def placed(grp: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -51,19 +50,17 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def tokens(texts: list[str], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: word hashes with begin and end, whether a word is short, and each text's number of words."""
+def tokens(texts: list[str], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """Of all texts: word hashes with begin and end, and each text's number of words."""
     each = [t.encode().lower().split() for t in texts]
     n = np.fromiter(map(len, each), np.int64, len(each))
-    flat = [w for t in each for w in t]
     ends = np.cumsum(n + 2)
-    out, short = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64), np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
     inner = np.ones(len(out), bool)
     inner[ends - 1] = inner[ends - n - 2] = False
-    out[inner], short[inner] = hasher(flat), np.fromiter(map(len, flat), np.int64, len(flat)) <= 4
+    out[inner] = hasher([w for t in each for w in t])
     out[ends - 1], out[ends - n - 2] = END, BEGIN
-    short[ends - n - 2] = True
-    return out, short, n
+    return out, n
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -124,12 +121,12 @@ def train(docs: DataFrame, path: str | None = None) -> dict:
         hasher = WordHasher()
 
         def flush(texts: list[str]) -> pa.RecordBatch:
-            w, short, _ = tokens(texts, hasher)
+            w, _ = tokens(texts, hasher)
             a, b = w[:-1], w[1:]
             real = b != BEGIN
-            a, b, s = a[real], b[real], short[:-1][real]
-            grp = bucket_of(a, b, s, buckets)
+            a, b = a[real], b[real]
             key = pair_hash(a, b)
+            grp = bucket_of(key, buckets)
             order = np.argsort(key)
             key = key[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -229,9 +226,12 @@ class Model:
     def __init__(self, about: dict):
         self.__dict__ |= about
         self.files: dict[str, list[np.ndarray] | None] = {}
+        self.mapped = isinstance(_open(self.path)[0], pafs.LocalFileSystem)
 
     def _file(self, name: str) -> list[np.ndarray] | None:
         if name not in self.files:
+            if not self.mapped and sum(a.nbytes for f in self.files.values() for a in f or ()) > LOADED_BYTES:
+                self.files.clear()
             fs, path = _open(f"{self.path}/{name}")
             self.files[name] = None if fs.get_file_info(path).type == pafs.FileType.NotFound else _load(f"{self.path}/{name}")
         return self.files[name]
@@ -250,7 +250,7 @@ class Model:
 
     def scores(self, texts: list[str], hasher: WordHasher) -> list[tuple[int, int, float, float]]:
         """n_tokens, n_known, base score and Kneser-Ney score of each text."""
-        w, short, n_words = tokens(texts, hasher)
+        w, n_words = tokens(texts, hasher)
         if not len(w):
             return []
         uniq, place = np.unique(w, return_inverse=True)
@@ -269,8 +269,8 @@ class Model:
         new = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])
         at, again = order[new], np.empty(len(pair), np.int64)
         again[order] = np.cumsum(new) - 1
-        a, b = uniq[first[at]], uniq[second[at]]
-        n = self._look("pairs", bucket_of(a, b, short[:-1][real][at], self.buckets), pair_hash(a, b), 1)[0]
+        key = pair_hash(uniq[first[at]], uniq[second[at]])
+        n = self._look("pairs", bucket_of(key, self.buckets), key, 1)[0]
         e = (n == 1) * e1 + (n == 2) * e2 + (n > 2) * e3
         own = np.divide(n - e, total[first[at]], out=np.zeros(len(at)), where=total[first[at]] > 0)
         score = np.log10(own + back[first[at]] * low[second[at]])[again]
