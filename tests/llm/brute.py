@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+from html.parser import HTMLParser
 from collections import Counter, defaultdict
 
 import xxhash
@@ -137,3 +138,46 @@ def contaminated(docs, items, threshold=0.8):
                     found.add((d, i))
                     break
     return found
+
+
+class Article(HTMLParser):
+    """The blocks of text inside article of well-marked pages, by the standard library's parser."""
+
+    BLOCKS = set("article div p h1 h2 h3 h4 ul ol li blockquote pre table tr td th section header footer aside form nav".split())
+    APART = set("script style nav aside footer form".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.held, self.inside, self.apart = [], [], 0, 0
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        self.held = []
+        if text:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside += tag == "article"
+        self.apart += tag in self.APART
+        if tag == "br":
+            self.held.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside -= tag == "article"
+        self.apart -= tag in self.APART
+
+    def handle_data(self, data):
+        if self.inside and not self.apart:
+            self.held.append(data)
+
+
+def article(html):
+    p = Article()
+    p.feed(html or "")
+    p.close()
+    p.flush()
+    return "\n\n".join(p.blocks)
