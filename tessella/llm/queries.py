@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from . import bpe, decontaminate, kneser_ney, lines, pii, quality, simhash, substring, warc, wrappers
+from .common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,15 @@ def _on(name: str, report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
     return lambda spark, sf_dir: report(_table(spark, sf_dir, name))
 
 
+def _ledger(docs: DataFrame) -> DataFrame:
+    """The stored ledger, of which policies and ablations are read."""
+    return written(quality.ledger(docs), "ledger")
+
+
 def _quality(docs: DataFrame) -> DataFrame:
-    led = quality.verdicts(quality.ledger(docs))
-    failed = quality.BASE.rejects(F.col("failed"))
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+    led = quality.verdicts(_ledger(docs))
+    base = quality.BASE.rejects(F.col("failed"))
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -36,10 +42,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": _on("documents", kneser_ney.report),
     "op9_quality": _on("documents", _quality),
     "op10_simhash": _on("documents", simhash.report),
+    "quality_ablations": _on("documents", lambda docs: quality.ablations(_ledger(docs))),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_MEASURED = rf"""
+with m as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
+u as (select doc_id, unnest(w) as a, generate_subscripts(w, 1) as p from m),
+g as (select doc_id, p, a, lead(a) over o as b, lead(a, 2) over o as c from u window o as (partition by doc_id order by p)),
+r as (select doc_id, p, count(*) over (partition by doc_id, a, b, c) as n from g where c is not null),
+v as (select doc_id, count(distinct p + i) as n_repeat_words from r, (select unnest(range(3)) as i) where n > 1 group by 1),
+l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from m) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+q as (select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, length(regexp_replace(t, '\PL+', '', 'g')) as n_letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) as n_upper from m left join v using (doc_id) left join l using (doc_id)),
+f as (select *, cast((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (word_chars < 2 * n_words)::int + 16 * (word_chars > 20 * n_words)::int
++ 32 * (10 * n_dup_lines > 5 * n_lines)::int + 64 * (n_letters > 0 and 10 * n_upper > 7 * n_letters)::int + 128 * (10 * n_letters < 3 * word_chars)::int as bigint) as failed from q)"""
+
 ORACLE: dict[str, str] = {
     "op3_line_dedup": r"""
 with base as (select row_number() over () as r, doc_id, source, text from documents),
@@ -65,14 +83,9 @@ hit as (select g.doc_id, g.p from g join k using (s) where n = 13 and first < g.
 covered as (select distinct doc_id, p + i as p from hit, (select unnest(range(13)) as i)),
 put as (select w.doc_id, count(*) as n_words, count(c.p) as n_removed, coalesce(string_agg(w, ' ' order by w.p) filter (where c.p is null), '') as kept from w left join covered c on w.doc_id = c.doc_id and w.p = c.p group by 1)
 select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join put using (doc_id)""",
-    "op9_quality": rf"""
-with m as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
-u as (select doc_id, unnest(w) as a, generate_subscripts(w, 1) as p from m),
-g as (select doc_id, p, a, lead(a) over o as b, lead(a, 2) over o as c from u window o as (partition by doc_id order by p)),
-r as (select doc_id, p, count(*) over (partition by doc_id, a, b, c) as n from g where c is not null),
-v as (select doc_id, count(distinct p + i) as n_repeat_words from r, (select unnest(range(3)) as i) where n > 1 group by 1),
-l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from m) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
-q as (select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, length(regexp_replace(t, '\PL+', '', 'g')) as n_letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) as n_upper from m left join v using (doc_id) left join l using (doc_id))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_letters < 3 * word_chars or 10 * n_dup_lines > 5 * n_lines or (n_letters > 0 and 10 * n_upper > 7 * n_letters)) as kept from q""",
+    "op9_quality": rf"""{_MEASURED}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed from f""",
+    "quality_ablations": rf"""{_MEASURED},
+r8 as (select unnest(['too_few_words', 'repeated_windows', 'symbols_per_word', 'short_mean_word', 'long_mean_word', 'repeated_lines', 'shouting', 'few_letters']) as rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) as bit)
+select rule, count(*) filter (where failed & bit <> 0) as n_failed, count(*) filter (where failed = bit) as n_only_this, count(*) filter (where failed & ~bit = 0) as n_kept_without from f, r8 group by 1""",
 }
