@@ -329,8 +329,10 @@ def test_pipeline(spark, tmp_path):
     assert passed <= {i for i, _, _ in left}
     left = [x for x in left if x[0] in passed]
     cleaned = brute.lines([(i, s, t) for i, t, s in left])
-    near = brute.near([(i, cleaned[i][0]) for i, _, _ in left])
-    left = [(i, cleaned[i][0]) for i, _, _ in left if near[i][1] == i]
+    from tests.llm.test_near import kept
+
+    stay = {i for _, i in kept([(i, cleaned[i][0]) for i, _, _ in left])}
+    left = [(i, cleaned[i][0]) for i, _, _ in left if i in stay]
     bad = {d for d, _ in brute.contaminated(left, items)}
     want = {i: brute.sha(t) for i, t in left if i not in bad}
     assert {r.doc_id: r.decoded_sha256 for r in c.run(spark, SF).collect()} == want
@@ -339,3 +341,92 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, SF)
         assert docs.columns == raw.columns, name
     assert [f(spark, raw.limit(0), SF).count() for _, f in c.STAGES] == [0] * 5
+
+
+def test_warc_ids_far_apart_and_repeated(spark, tmp_path):
+    pages = [(i, "u", f"page {i} " * 40) for i in range(400)] + [(-(2**63), "low", "far"), (2**63 - 1, "high", "off"), (None, "none", "n"), (None, "none", "n")]
+    pages += [(7, f"again{i}", f"other {i % 50} " * 40) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    manifest = warc.write(df, str(tmp_path / "a"), shard_bytes=8_000)
+    per_shard = [r[1] for r in manifest.groupBy("shard").agg({"records": "sum"}).collect()]
+    assert sum(per_shard) == len(pages) and len(per_shard) > 20 and max(per_shard) < 60
+    got = warc.read(spark, str(tmp_path / "a"))
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in got.collect()) == sorted((i is None, i or 0, len(h)) for i, _, h in pages)
+    ids = []
+    for p in (tmp_path / "a/archive").iterdir():
+        if p.suffix == ".gz":
+            with p.open("rb") as f:
+                ids += [h["WARC-Record-ID"] for h, _ in warc.parse(f)]
+    assert len(ids) == len(set(ids)) == len(pages)
+    warc.write(df.repartition(7), str(tmp_path / "b"), shard_bytes=8_000)
+    files = lambda x: {p.name: p.read_bytes() for p in (tmp_path / x / "archive").iterdir() if p.suffix == ".gz"}
+    assert files("a") == files("b")
+
+
+@pytest.mark.parametrize("cut", [5, 400])
+def test_warc_files_cut_off(spark, tmp_path, cut):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(20)], "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "a"))
+    file = next(p for p in (tmp_path / "a/archive").iterdir() if p.suffix == ".gz")
+    file.write_bytes(file.read_bytes()[:-cut])
+    with pytest.raises(Exception, match="cut off|records"):
+        warc.read(spark, str(tmp_path / "a")).count()
+
+
+def test_pii_work_grows_with_the_text(spark):
+    import time
+
+    rows = [(1, "10a" * 333_000), (2, "a@b.co " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].spans == "" and got[2].n_email == 60_000
+    assert got[2].base_sha256 == brute.sha(brute.pii(rows[1][1])[1])
+
+
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("ssn 123-45-6789", "ssn", True),
+        ("ref 123-45-6789", "ssn", False),
+        ("socialite 123-45-6789", "ssn", False),
+        ("to GB82 WEST 1234 5698 7654 32", "iban", True),
+        ("for example GB82 WEST 1234 5698 7654 32", "iban", False),
+        ("example account GB82 WEST 1234 5698 7654 32", "iban", True),
+        ('token = "908038b7daaf91e730d2f64001c5"', "secret", True),
+        ('dummy token = "908038b7daaf91e730d2f64001c5"', "secret", False),
+        ('dummy access token = "908038b7daaf91e730d2f64001c5"', "secret", True),
+    ],
+)
+def test_pii_context_decides(spark, text, kind, found):
+    r = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (kind in r.spans) == found
+    assert len(r.scores.split(",")) == len(r.spans.split(","))
+
+
+def test_pii_context_words_end_somewhere(spark):
+    rows = [(1, "ip 1.2.3.4"), (2, "ipsum 1.2.3.4")]
+    got = {r.doc_id: r.scores for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "0.8", 2: "0.6"}
+
+
+def test_decontamination_misses_no_edited_copy(spark):
+    """Windows with edits at their edges and inside, against brute force: everything of 0.8 or more is found."""
+    import random
+
+    rnd = random.Random(3)
+    words = [f"w{i}x{rnd.randrange(10**6)}" for i in range(5000)]
+    items = [(k, " ".join(rnd.choices(words, k=(60, 100, 30, 12)[k % 4]))) for k in range(40)] + [(99, "again and again " * 60)]
+    docs = []
+    for n in range(600):
+        w = items[n % 41][1].split()
+        for _ in range(rnd.randrange(4)):
+            cut = rnd.randrange(1, 9)
+            where = rnd.choice((0, len(w) - cut, rnd.randrange(len(w))))
+            w[where : where + cut] = rnd.choices(words, k=cut)
+        docs.append((n, " ".join([*rnd.choices(words, k=rnd.randrange(30)), *w, *rnd.choices(words, k=9)])))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.report(df, it).collect()}
+    want = brute.contaminated(docs, items)
+    assert len(want) > 200 and got == want
