@@ -9,10 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What people say of dates, and the month or decade that it stands for.
 MONTHS = "january february march april may june july august september october november december".split()
-#: First and last month of what people call a part of the year.
-SEASONS = {"spring": (3, 5), "summer": (6, 8), "autumn": (9, 11), "fall": (9, 11), "winter": (12, 2)}
-FEASTS = {"christmas": (12, 25), "new year": (1, 1), "halloween": (10, 31)}
+SEASONS = {"spring": 4, "summer": 7, "autumn": 10, "fall": 10, "winter": 1}
+DECADES = {"twenties": 1920, "thirties": 1930, "forties": 1940, "fifties": 1950, "sixties": 1960, "seventies": 1970, "eighties": 1980, "nineties": 1990}
+HEDGES = r"maybe|probably|possibly|approx\.?|approximately|about|around|circa|c\.|ca\.|abt\.?|sometime|some time|in|during|the|early|mid|late"
+FIRST_YEAR, LAST_YEAR = 1800, 2100
+#: Years of two digits from here on are of the 20th century.
+CENTURY = 30
 
 
 def span(date: Column, precision: Column) -> Column:
@@ -63,16 +67,32 @@ def months_apart(a: Column, b: Column) -> Column:
     return F.abs(n(a) - n(b))
 
 
-#: Rule letters: a scanner's clock, b an unset clock, c far from the folder's month, d not plausible.
-def hygiene_flags(taken: Column, folder_month: Column, added: Column, is_scan: Column, first_year: int = 1900) -> Column:
-    """Array of the rules that a date breaks, in order; empty if none or no date."""
+#: Fixed value: no photograph is older.
+FIRST_PHOTO = 1826
+
+
+def unset_clock(t: Column) -> Column:
+    """The first minute of a year: a camera clock that was never set."""
+    return (F.month(t) == 1) & (F.dayofmonth(t) == 1) & (F.hour(t) == 0) & (F.minute(t) == 0)
+
+
+def hygiene_flags(date: Column, clock: Column, folder_month: Column, added: Column, is_scan: Column, most_months: int = 3, first_year: int = FIRST_PHOTO) -> Column:
+    """Array of the rules that a confirmed date breaks, in order: a is a scan, whose clock says when it was scanned; b the clock
+    that gave it was never set; c is far from the folder's month; d is after the thing was added, or too early. Empty if no date."""
     rules = [
-        ("a", is_scan & (F.datediff(added, taken) <= 366)),
-        ("b", (F.month(taken) == 1) & (F.dayofmonth(taken) == 1) & F.year(taken).isin(1970, 1980, 2000)),
-        ("c", folder_month.isNotNull() & (months_apart(taken, folder_month) > 3)),
-        ("d", (F.year(taken) < first_year) | (taken > added)),
+        ("a", is_scan),
+        ("b", clock.isNotNull() & unset_clock(clock)),
+        ("c", folder_month.isNotNull() & (months_apart(date, folder_month) > most_months)),
+        ("d", (date.cast("date") > added.cast("date")) | (F.year(date) < first_year)),
     ]
-    return F.when(taken.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules])))
+    return F.when(date.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules])))
+
+
+def ingest_reason(taken: Column, is_scan: Column, modified: Column) -> Column:
+    """Why a camera's date can't be taken for a fact as it arrives; null if it can, or if there is none. A file may be dated
+    a day after it was modified, as it may come from another time zone."""
+    late = F.coalesce(taken > modified + F.expr("interval 1 day"), F.lit(False))
+    return F.when(taken.isNull(), F.lit(None).cast("string")).when(F.coalesce(is_scan, F.lit(False)), "scanner_clock").when(unset_clock(taken), "unset_camera_clock").when((F.year(taken) < FIRST_PHOTO) | late, "implausible_date")
 
 
 def first_rule(flags: Column) -> Column:
@@ -86,46 +106,97 @@ def date_fields(date: Column, precision: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class Parsed:
-    date: dt.date
+class Shape:
+    """A form of a date: a pattern with named groups y, m and d. m may also be a word of `words`; what has no group is `month`
+    and the first day. Short years count from CENTURY."""
+
+    pattern: str
     precision: str
+    words: tuple[tuple[str, int], ...] = ()
+    month: int = 1
+
+
+_MONTH_WORDS = tuple((w, i) for i, name in enumerate(MONTHS, 1) for w in (name, name[:3], *(("sept",) if name == "september" else ())))
+
+
+def _any_of(words: tuple[tuple[str, int], ...]) -> str:
+    return "|".join(w for w, _ in words)
+
 
+_NAMED, _SEASON = _any_of(_MONTH_WORDS), _any_of(tuple(SEASONS.items()))
+SHAPES = (
+    Shape(rf"(?<y>{'|'.join(DECADES)})", "decade"),
+    Shape(r"(?<y>[0-9]{2}|[0-9]{4})\s*['’]?s", "decade"),
+    Shape(r"(?<y>[0-9]{4})-(?<m>[0-9]{1,2})", "month"),
+    Shape(r"(?<y>[0-9]{4})-(?<m>[0-9]{1,2})-(?<d>[0-9]{1,2})", "exact"),
+    Shape(r"(?<m>[0-9]{1,2})[/.](?<d>[0-9]{1,2})[/.](?<y>[0-9]{4})", "exact"),
+    Shape(r"(?<m>[0-9]{1,2})[/-](?<y>[0-9]{4})", "month"),
+    Shape(rf"(?<m>{_SEASON})\s+(?:of\s+)?(?<y>[0-9]{{4}})", "year", tuple(SEASONS.items())),
+    Shape(r"(?:christmas|xmas)\s+(?:of\s+)?(?<y>[0-9]{4})", "month", month=12),
+    Shape(rf"(?<m>{_NAMED})\.?\s+(?:of\s+)?(?<y>[0-9]{{4}})", "month", _MONTH_WORDS),
+    Shape(rf"(?<m>{_NAMED})\.?\s+(?:of\s+)?(?<d>[0-9]{{1,2}})(?:st|nd|rd|th)?[,\s]+(?<y>[0-9]{{4}})", "exact", _MONTH_WORDS),
+    Shape(rf"(?<d>[0-9]{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?(?<m>{_NAMED})\.?,?\s+(?<y>[0-9]{{4}})", "exact", _MONTH_WORDS),
+    Shape(r"(?<y>[0-9]{4})", "year"),
+)
 
-def _year(text: str) -> int:
-    n = int(text)
-    return n if n > 99 else 1900 + n
+
+def _groups(pattern: str) -> dict[str, int]:
+    """Numbers of the named groups."""
+    found = re.findall(r"\((?!\?)|\(\?<([ymd])>", pattern)
+    return {name: i for i, name in enumerate(found, 1) if name}
+
+
+def free_date(x: Column) -> Column:
+    """Free text ("March 1962", "the sixties", "12th of March, 1962", "around 1962?") to struct(date, precision); null if it is
+    none of SHAPES or no day of the calendar. A decade is dated to its start, a season to a month in its middle."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")), "[?!]+$", ""), rf"^(?:(?:{HEDGES})\s*)+", ""))
+    # a lambda's variable: the text is worked out once, not again for each group of each shape
+    return F.get(F.transform(F.array(bare), _first_shape), F.lit(0))
+
+
+def _first_shape(t: Column) -> Column:
+    out = F.lit(None).cast("struct<date:date,precision:string>")
+    for s in reversed(SHAPES):
+        groups = _groups(s.pattern)
+
+        def number(name: str, words: dict[str, int], default: int, groups: dict[str, int] = groups, s: Shape = s) -> Column:
+            if name not in groups:
+                return F.lit(default)
+            g = F.regexp_extract(t, f"^{s.pattern}$", groups[name])
+            if not words:
+                return F.try_to_number(g, F.lit("9999")).cast("int")
+            return F.create_map(*[F.lit(v) for pair in words.items() for v in pair])[g]
+
+        y = number("y", DECADES if "twenties" in s.pattern else {}, 0)
+        y = y + F.when(y < CENTURY, 2000).when(y < 100, 1900).otherwise(0)
+        first = (F.floor(y / 10) * 10).cast("int") if s.precision == "decade" else y
+        # a string, as a day that doesn't exist is an error for make_date
+        date = F.try_to_date(F.format_string("%04d-%02d-%02d", first, number("m", dict(s.words), s.month), number("d", {}, 1)), "yyyy-MM-dd")
+        found = F.when(y.between(FIRST_YEAR, LAST_YEAR) & date.isNotNull(), F.struct(date.alias("date"), F.lit(s.precision).alias("precision")))
+        out = F.when(t.rlike(f"^{s.pattern}$"), found).otherwise(out)
+    return out
+
+
+@dataclass(frozen=True)
+class Parsed:
+    date: dt.date
+    precision: str
 
 
 def parse_free(text: str | None) -> Parsed | None:
-    """Free text to a date and its precision, or None."""
-    s = re.sub(r"\s+", " ", (text or "").strip().lower()).rstrip(".")
-    s = re.sub(r"^(?:about|around|circa|ca?\.?|approx\.?|probably|maybe|the|early|mid|late)[ -]+", "", s)
-    s = re.sub(r"^(?:the|early|mid|late)[ -]+", "", s)
-    month = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
-    number = lambda m: next(i for i, x in enumerate(MONTHS, 1) if x[:3] == m[:3])
-    shapes = (
-        (r"(\d{4})-(\d{1,2})-(\d{1,2})", lambda y, m, d: (int(y), int(m), int(d), "exact")),
-        (r"(\d{1,2})[/.](\d{1,2})[/.](\d{4})", lambda m, d, y: (int(y), int(m), int(d), "exact")),
-        (rf"(\d{{1,2}})(?:st|nd|rd|th)? ({month}),? (\d{{4}})", lambda d, m, y: (int(y), number(m), int(d), "exact")),
-        (rf"({month}) (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})", lambda m, d, y: (int(y), number(m), int(d), "exact")),
-        (rf"({month}),? (\d{{4}})", lambda m, y: (int(y), number(m), 1, "month")),
-        (r"(\d{1,2})[/-](\d{4})", lambda m, y: (int(y), int(m), 1, "month")),
-        (r"(\d{4})[/-](\d{1,2})", lambda y, m: (int(y), int(m), 1, "month")),
-        (r"(\d{4})", lambda y: (int(y), 1, 1, "year")),
-        (r"(\d{3}0|\d0)'?s", lambda y: (_year(y) // 10 * 10, 1, 1, "decade")),
-        (r"'(\d0)'?s", lambda y: (_year(y), 1, 1, "decade")),
-        (rf"({'|'.join(SEASONS)})(?: of)?,? (\d{{4}})", lambda s, y: (int(y), 1, 1, "year")),
-        (rf"({'|'.join(FEASTS)})(?: day| eve)?,? (\d{{4}})", lambda f, y: (int(y), *FEASTS[f], "month")),
-        (rf"({month}) '?(\d{{2}})", lambda m, y: (_year(y), number(m), 1, "month")),
-    )
-    for pattern, build in shapes:
-        if m := re.fullmatch(pattern, s):
-            y, mo, d, precision = build(*m.groups())
+    """free_date for what is typed into a query, by the same shapes."""
+    t = re.sub(rf"^(?:(?:{HEDGES})\s*)+", "", re.sub("[?!]+$", "", (text or "").strip().lower())).strip()
+    for s in SHAPES:
+        if m := re.fullmatch(s.pattern.replace("(?<", "(?P<"), t):
+            g = m.groupdict()
+            y = DECADES[g["y"]] if g["y"] in DECADES else int(g["y"])
+            y = y + (2000 if y < CENTURY else 1900 if y < 100 else 0)
+            month = dict(s.words).get(g.get("m") or "") or int(g.get("m") or s.month)
             try:
-                found = dt.date(y, mo, d)
+                found = dt.date(y // 10 * 10 if s.precision == "decade" else y, month, int(g.get("d") or 1))
             except ValueError:
                 return None
-            return Parsed(found.replace(day=1) if precision == "month" else found, precision) if 1000 <= y <= 2100 else None
+            return Parsed(found, s.precision) if FIRST_YEAR <= y <= LAST_YEAR else None
     return None
 
 

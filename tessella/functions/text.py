@@ -91,11 +91,10 @@ def name_forms(given: Column, middle: Column, surname: Column, suffix: Column, v
 
 
 def folder_name(x: Column, most: int = 80) -> Column:
-    """A name that any file system takes."""
-    safe = F.rtrim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]+', " "), r"\s+", " "))
-    safe = F.regexp_replace(F.trim(safe), r"[. ]+$", "")
-    cut = F.rtrim(F.substring(safe, 1, most))
-    return F.when(cut == "", "Unnamed").when(cut.rlike(r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(F.lit("_"), cut)).otherwise(cut)
+    """A name that any file system takes: one blank for white space, "_" for each bad character and behind a reserved name."""
+    bare = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+    cut = F.regexp_replace(F.substring(F.regexp_replace(bare, r'[<>:"/\\|?*\x00-\x1f]', "_"), 1, most), r"[. ]+$", "")
+    return F.when(cut == "", "Unnamed").when(cut.rlike(r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"), F.concat(cut, F.lit("_"))).otherwise(cut)
 
 
 def caption(parts: list[Column], last: Column, budget: int = 2000) -> Column:

@@ -74,12 +74,15 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     members = e.groupBy("a").agg(F.min("b").alias("group")).select(F.col("a").alias("id"), "group")
     return members.unionByName(members.select(F.col("group").alias("id"), "group").distinct())
 
 
 def duplicate_groups(pairs: DataFrame, facts: DataFrame, id_col: str, better: list[Column]) -> DataFrame:
     """Members of each group with the keeper, the group's size and least edge, and the member's edge to the keeper (else its least edge)."""
+    pairs = kept_table(pairs, "pairs")
     groups = kept_table(components(pairs), "groups")
     known = groups.join(facts.withColumnRenamed(id_col, "id"), "id")
     best = known.groupBy("group").agg(F.max_by("id", F.struct(*better, -F.col("id"))).alias("keeper"), F.count("*").alias("size"))

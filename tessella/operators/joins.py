@@ -41,32 +41,44 @@ def in_blocks(queries: DataFrame, key: str, each: Callable[[DataFrame], DataFram
     return reduce(DataFrame.unionByName, [each(bounded(queries.where(block == i), 2 * rows)) for i in range(2 * n)])
 
 
-def exact_or_alike(terms: DataFrame, names: DataFrame, exact: int = 100, alike: int = 50) -> DataFrame:
+def exact_or_alike(terms: DataFrame, names: DataFrame, exact: int = 100, alike: int = 50, kinds: dict[str, int] | None = None) -> DataFrame:
     """terms (ix, term, key) with names (id, token, key): equal tokens, or equal keys that also look alike; the best
-    rank per term and name. Two equi-joins in a union: a join on either condition would be a nested loop."""
+    rank per term and name. With a column `kind` of the names, `kinds` says what an equal token of a kind is worth. Two equi-joins in a
+    union: a join on either condition would be a nested loop."""
     t = small(terms)
-    same = names.join(t, F.col("token") == F.col("term")).select("ix", "id", "token", F.lit(exact).alias("rank"))
+    worth = F.lit(exact)
+    if kinds and "kind" in names.columns:
+        worth = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in kinds.items()], F.when(F.col("kind").isNull(), exact), F.lit(alike))
+    same = names.join(t.drop("key"), F.col("token") == F.col("term")).select("ix", "id", "token", worth.alias("rank"))
     n, k = names.withColumnRenamed("key", "__k"), t
-    near = n.join(k, F.col("__k") == F.col("key")).where(looks_alike(F.col("token"), F.col("term"))).select("ix", "id", "token", F.lit(alike).alias("rank"))
+    near = n.join(k, F.col("__k") == F.col("key")).where((F.col("token") != F.col("term")) & looks_alike(F.col("token"), F.col("term"))).select("ix", "id", "token", F.lit(alike).alias("rank"))
     w = Window.partitionBy("ix", "id").orderBy(F.desc("rank"), "token")
     return same.unionByName(near).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def in_span(rows: DataFrame, lo: str, hi: str, spans: DataFrame, inside: int = 75, across: int = 67) -> DataFrame:
-    """Rows whose closed span overlaps that of a query (ix, q_lo, q_hi; null bounds are open), scored by containment.
-    The query side is a handful of terms."""
+def in_span(rows: DataFrame, lo: str, hi: str, spans: DataFrame, inside: int = 75, across: int = 67, few: int = 1_000) -> DataFrame:
+    """Rows whose closed span overlaps that of a query (ix, q_lo, q_hi; null bounds are open), scored by containment. Few query
+    spans are broadcast; more of them meet the rows by the years that both cover, open bounds reaching as far as the rows do."""
     a, b, c, d = F.col(lo), F.col(hi), F.col("q_lo"), F.col("q_hi")
-    j = rows.join(bounded(spans, 1_000), dates.overlaps(a, b, c, d) & a.isNotNull())
+    if is_small(spans, few):
+        j = rows.join(F.broadcast(spans), dates.overlaps(a, b, c, d) & a.isNotNull())
+    else:
+        first, last = rows.agg(F.min(lo), F.max(F.greatest(lo, hi))).first()
+        first, last = F.lit(first).cast("date"), F.lit(last).cast("date")
+        closed = spans.withColumns({"__lo": F.coalesce("q_lo", F.least("q_hi", first)), "__hi": F.coalesce("q_hi", F.greatest("q_lo", last))})
+        closed = closed.withColumns({"__lo": F.greatest("__lo", first), "__hi": F.least("__hi", last)}).where("__lo <= __hi")
+        dated = rows.withColumn("__end", F.coalesce(hi, last))
+        j = by_year(dated, lo, "__end", closed, "__lo", "__hi").drop("__lo", "__hi", "__end")
     return j.withColumn("score", F.when(dates.contained(a, b, c, d), inside).otherwise(across))
 
 
-def by_year(rows: DataFrame, lo: str, hi: str, spans: DataFrame) -> DataFrame:
+def by_year(rows: DataFrame, lo: str, hi: str, spans: DataFrame, q_lo: str = "q_lo", q_hi: str = "q_hi") -> DataFrame:
     """The same for many query spans with both bounds: an equi-join on the years that both cover, each pair once."""
     years = lambda x, y: F.explode(F.sequence(F.year(x), F.year(y)))
     r = rows.where(F.col(lo).isNotNull()).withColumn("__y", years(lo, hi))
-    s = spans.withColumn("__y", years("q_lo", "q_hi"))
-    hit = r.join(s, "__y").where((F.col(lo) <= F.col("q_hi")) & (F.col(hi) >= F.col("q_lo")))
-    return hit.where(F.col("__y") == F.greatest(F.year(lo), F.year("q_lo"))).drop("__y")
+    s = spans.withColumn("__y", years(q_lo, q_hi))
+    hit = r.join(s, "__y").where((F.col(lo) <= F.col(q_hi)) & (F.col(hi) >= F.col(q_lo)))
+    return hit.where(F.col("__y") == F.greatest(F.year(lo), F.year(q_lo))).drop("__y")
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, most: float | None = None) -> DataFrame:
@@ -84,9 +96,14 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, most: float | None
 
 
 def nearest_owner(queries: DataFrame, prototypes: DataFrame, k: int = 1, most: float | None = None) -> DataFrame:
-    """(query_id, owner, distance, rank) over prototypes (owner, vector): an owner's distance is that of its nearest."""
-    p = bounded(prototypes.select("owner", F.col("vector").alias("__p")))
-    d = queries.join(p).groupBy(F.col("id").alias("query_id"), "owner").agg(F.min(cosine_distance(F.col("vector"), F.col("__p"))).alias("distance"))
+    """(query_id, owner, distance, rank) over prototypes (owner, vector): an owner's distance is that of its nearest. Prototypes
+    go in blocks, of which the least distances are kept."""
+
+    def block(p: DataFrame) -> DataFrame:
+        return queries.join(p).groupBy(F.col("id").alias("query_id"), "owner").agg(F.min(cosine_distance(F.col("vector"), F.col("__p"))).alias("distance"))
+
+    d = in_blocks(prototypes.select("owner", F.col("vector").alias("__p")), "__p", block)
+    d = d.groupBy("query_id", "owner").agg(F.min("distance").alias("distance"))
     if most is not None:
         d = d.where(F.col("distance") <= most)
     w = Window.partitionBy("query_id").orderBy("distance", "owner")
@@ -94,9 +111,14 @@ def nearest_owner(queries: DataFrame, prototypes: DataFrame, k: int = 1, most: f
 
 
 def nearest_hash(queries: DataFrame, refs: DataFrame, distance: Column, most: int) -> DataFrame:
-    """The closest ref (r_id) of each query (q_id) by a distance over both sides' columns, if within `most`."""
-    j = queries.join(bounded(refs)).withColumn("d", distance).where(F.col("d") <= most)
-    return j.groupBy("q_id").agg(F.min_by("r_id", F.struct("d", "r_id")).alias("r_id"), F.min("d").alias("d"))
+    """The closest ref (r_id) of each query (q_id) by a distance over both sides' columns, if within `most`. Refs go in blocks,
+    of which the best are kept."""
+
+    def block(r: DataFrame) -> DataFrame:
+        j = queries.join(r).withColumn("d", distance).where(F.col("d") <= most)
+        return j.groupBy("q_id").agg(F.min(F.struct("d", "r_id")).alias("x"))
+
+    return in_blocks(refs, "r_id", block).groupBy("q_id").agg(F.min("x").alias("x")).select("q_id", "x.r_id", "x.d")
 
 
 def exact_then_near(rows: DataFrame, by_hash: DataFrame, pending: DataFrame, near: DataFrame, id_col: str, sha: str) -> DataFrame:

@@ -116,7 +116,7 @@ def visible(df: DataFrame, access: Access, user: int | None, id_col: str, admin:
     if admin:
         return df
     mine = access.group_members.where(F.col(access.user) == user).select(F.col(access.group).alias("__g"))
-    ids = access.row_groups.join(F.broadcast(mine) if user is None else mine, F.col(access.group) == F.col("__g"), "left_semi").select(F.col(access.row_id).alias("__id"))
+    ids = access.row_groups.join(mine, F.col(access.group) == F.col("__g"), "left_semi").select(F.col(access.row_id).alias("__id"))
     return df.join(ids, df[id_col] == F.col("__id"), "left_semi")
 
 

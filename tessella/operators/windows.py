@@ -26,14 +26,14 @@ def scan_order(df: DataFrame, folder: str, name: str, time: str, most_years: int
     """Sequence 1..n per folder: by time, then natural name; by name alone if all times are equal or span too long."""
     w = Window.partitionBy(folder)
     seconds = F.unix_timestamp(F.max(time).over(w)) - F.unix_timestamp(F.min(time).over(w))
-    df = df.withColumn("fallback", F.coalesce((seconds == 0) | (seconds > most_years * 366 * 86400), F.lit(True)))
+    df = df.withColumn("fallback", F.coalesce((seconds == 0) | (seconds > most_years * 365 * 86400), F.lit(True)))
     key = F.when(~F.col("fallback"), F.unix_timestamp(time))
     return df.withColumn("sequence", F.row_number().over(Window.partitionBy(folder).orderBy(key, natural_key(F.col(name)), name)))
 
 
 def natural_key(x: Column) -> Column:
-    """Lower case, every number padded with zeros to twelve digits."""
-    return F.lower(F.regexp_replace(F.regexp_replace(x, r"([0-9]+)", "000000000000$1"), r"0*([0-9]{12})(?![0-9])", "$1"))
+    """Lower case, every number padded with zeros to 64 digits."""
+    return F.lower(F.regexp_replace(F.regexp_replace(x, r"([0-9]+)", "0" * 64 + "$1"), r"0*([0-9]{64})(?![0-9])", "$1"))
 
 
 def renumbered(df: DataFrame, keys: list[str], order: list[Column], current: str, id_col: str) -> DataFrame:
@@ -57,14 +57,28 @@ def keeper(df: DataFrame, key: str, id_col: str, better: list[Column]) -> DataFr
     return df.groupBy(key).agg(F.max_by(id_col, F.struct(*better, -F.col(id_col))).alias("keeper"))
 
 
-def reasons(df: DataFrame, key: str, id_col: str, rules: dict[str, str]) -> DataFrame:
-    """Per key: the keeper, and the first rules in which it beats some other row, joined by ' > '."""
-    best = keeper(df, key, id_col, [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in rules.values()])
-    j = df.join(best, key)
-    mine = {n: F.max(F.when(F.col(id_col) == F.col("keeper"), F.col(c).cast("double"))) for n, c in rules.items()}
-    rest = {n: F.min(F.when(F.col(id_col) != F.col("keeper"), F.col(c).cast("double"))) for n, c in rules.items()}
-    chain = F.concat_ws(" > ", *[F.when(F.coalesce(mine[n] > rest[n], F.lit(False)), n) for n in rules])
-    return j.groupBy(key, "keeper").agg(chain.alias("reasons"))
+def reasons(df: DataFrame, key: str, id_col: str, flags: dict[str, str], sizes: dict[str, str], last: dict[str, str] | None = None) -> DataFrame:
+    """Per key: the keeper by flags, then sizes, then the last flags, and why: the flags that it has and some other lacks, and the
+    sizes in which it is above the largest other, as a ratio where that isn't zero; failing these the last flags; failing all
+    "lower id". A single row is the "only member"."""
+    last = last or {}
+    value = {n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in (flags | sizes | last).items()}
+    best = keeper(df, key, id_col, [value[n] for n in (*flags, *sizes, *last)])
+    own = F.col(id_col) == F.col("keeper")
+    mine = {n: F.max(F.when(own, v)).alias(f"__m_{n}") for n, v in value.items()}
+    low = {n: F.min(F.when(~own, value[n])).alias(f"__l_{n}") for n in (*flags, *last)}
+    high = {n: F.max(F.when(~own, value[n])).alias(f"__h_{n}") for n in sizes}
+    g = df.join(best, key).groupBy(key, "keeper").agg(F.count("*").alias("__n"), *mine.values(), *low.values(), *high.values())
+    beats = lambda n: F.when((F.col(f"__m_{n}") > 0) & (F.col(f"__l_{n}") <= 0), n)
+
+    def ratio(n: str) -> Column:
+        m, h = F.col(f"__m_{n}"), F.col(f"__h_{n}")
+        return F.when((m > h) & (h > 0), F.concat(F.format_string("%.1f", F.bround(m / h, 1)), F.lit(f"x {n}"))).when(m > h, f"has {n}")
+
+    chain = F.concat_ws(" > ", *map(beats, flags), *map(ratio, sizes))
+    rest = F.concat_ws(" > ", *map(beats, last)) if last else F.lit("")
+    why = F.when(F.col("__n") == 1, "only member").when(chain != "", chain).when(rest != "", rest).otherwise("lower id")
+    return g.select(key, "keeper", why.alias("reasons"))
 
 
 def bursts(df: DataFrame, keys: list[str], time: str, id_col: str, window: float = 2.0, least: int = 3, limbs: str | None = None, most_bits: int = 4) -> DataFrame:
