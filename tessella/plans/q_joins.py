@@ -30,12 +30,12 @@ def interval_overlap(t):
     return joins.in_span(_dated(t), "lo", "hi", spans).select("o_orderkey", "ix", "score")
 
 
-@query("join3_many_intervals", f"select o_orderkey, event_id from {_ROWS} join (select event_id, cast(to_days(cast(event_id % 2400 as int)) + timestamp '1992-01-01' as date) as q_lo, cast(to_days(cast(event_id % 2400 + event_id % 30 as int)) + timestamp '1992-01-01' as date) as q_hi from events where event_id % 40 = 0) on lo <= q_hi and hi >= q_lo where o_orderkey % 8 < 2")
+@query("join3_many_intervals", f"select event_id, count(*) as n from {_ROWS} join (select event_id, cast(to_days(cast(event_id % 2400 as int)) + timestamp '1992-01-01' as date) as q_lo, cast(to_days(cast(event_id % 2400 + event_id % 30 as int)) + timestamp '1992-01-01' as date) as q_hi from events) on lo <= q_hi and hi >= q_lo group by 1")
 def many_intervals(t):
     d = lambda n: F.date_add(F.to_date(F.lit("1992-01-01")), n.cast("int"))
     e = F.col("event_id")
-    spans = t.events.where("event_id % 40 = 0").select("event_id", d(e % 2400).alias("q_lo"), d(e % 2400 + e % 30).alias("q_hi"))
-    return joins.by_year(_dated(t).where("o_orderkey % 8 < 2"), "lo", "hi", spans).select("o_orderkey", "event_id")
+    spans = t.events.select("event_id", d(e % 2400).alias("q_lo"), d(e % 2400 + e % 30).alias("q_hi"))
+    return joins.by_year(_dated(t), "lo", "hi", spans).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query("join10_predecessor", "select l_orderkey, l_linenumber, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as front from lineitem")
@@ -83,10 +83,10 @@ def details(t):
     return j.select("o_orderkey", F.coalesce(text, F.lit("")).alias("parts"), F.coalesce(F.array_size("lines"), F.lit(0)).cast("long").alias("n"))
 
 
-@query("join18_relatives", "with e as (select distinct l_suppkey as a, l_partkey as b, 'parent' as type from lineitem where l_orderkey < 120 union all select distinct l_suppkey, l_suppkey + 1000, 'spouse' from lineitem where l_orderkey < 20), p as (select a, b from e where type = 'parent') select b as id, a as other, 'parent' as kind from p union select a, b, 'child' from p union select a, b, 'spouse' from e where type = 'spouse' union select b, a, 'spouse' from e where type = 'spouse' union select x.b, y.b, 'sibling' from p x join p y on x.a = y.a and x.b <> y.b")
+@query("join18_relatives", "with e as (select o_custkey as a, o_orderkey + 10000000 as b, 'parent' as type from orders union all select c_custkey, c_custkey + 20000000, 'spouse' from customer), p as (select a, b from e where type = 'parent') select b as id, a as other, 'parent' as kind from p union select a, b, 'child' from p union select a, b, 'spouse' from e where type = 'spouse' union select b, a, 'spouse' from e where type = 'spouse' union select x.b, y.b, 'sibling' from p x join p y on x.a = y.a and x.b <> y.b")
 def relatives(t):
-    e = t.lineitem.where("l_orderkey < 120").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.lit("parent").alias("type")).distinct()
-    s = t.lineitem.where("l_orderkey < 20").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1000).alias("b"), F.lit("spouse").alias("type")).distinct()
+    e = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 10000000).alias("b"), F.lit("parent").alias("type"))
+    s = t.customer.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 20000000).alias("b"), F.lit("spouse").alias("type"))
     return joins.relatives(e.unionByName(s))
 
 
@@ -139,9 +139,9 @@ def joined(t):
     return t.orders.groupBy("o_custkey").agg(aggregates.joined_distinct("o_orderpriority", " / ").alias("priorities"))
 
 
-@query("agg10_json", """select l_orderkey, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}', ',' order by l_linenumber, l_partkey) || ']' as lines from lineitem where l_orderkey < 2000 group by 1""")
+@query("agg10_json", """select l_orderkey, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}', ',' order by l_linenumber, l_partkey) || ']' as lines from lineitem group by 1""")
 def as_json(t):
-    return t.lineitem.where("l_orderkey < 2000").groupBy("l_orderkey").agg(aggregates.as_json(["l_linenumber", "l_partkey"]).alias("lines"))
+    return t.lineitem.groupBy("l_orderkey").agg(aggregates.as_json(["l_linenumber", "l_partkey"]).alias("lines"))
 
 
 @query("agg11_any_and_latest", "select l_orderkey, bool_or(l_returnflag = 'R') as returned, max(l_shipdate) as latest, count(*) filter (where l_quantity > 40) as large from lineitem group by 1")
@@ -237,9 +237,14 @@ def keeper(t):
     return windows.keeper(t.lineitem, "l_orderkey", "l_linenumber", [F.col("l_quantity"), F.col("l_extendedprice")])
 
 
-@query("win7_reasons", "with b as (select l_orderkey as k, arg_max(l_linenumber, (l_quantity, l_tax, -l_linenumber)) as keeper from lineitem group by 1) select k as l_orderkey, keeper, concat_ws(' > ', case when max(l_quantity) filter (where l_linenumber = keeper) > min(l_quantity) filter (where l_linenumber <> keeper) then 'quantity' end, case when max(l_tax) filter (where l_linenumber = keeper) > min(l_tax) filter (where l_linenumber <> keeper) then 'tax' end) as reasons from lineitem join b on l_orderkey = k group by 1, 2")
+@query("win7_reasons", """with v as (select l_orderkey as k, l_linenumber as id, (l_returnflag = 'R')::int as r, l_quantity as q, l_tax as t, (l_linestatus = 'O')::int as o from lineitem),
+b as (select k, arg_max(id, (r, q, t, o, -id)) as keeper, count(*) as n from v group by 1),
+g as (select k, keeper, n, max(r) filter (where id = keeper) as mr, min(r) filter (where id <> keeper) as lr, max(q) filter (where id = keeper) as mq, max(q) filter (where id <> keeper) as hq, max(t) filter (where id = keeper) as mt, max(t) filter (where id <> keeper) as ht, max(o) filter (where id = keeper) as mo, min(o) filter (where id <> keeper) as lo from v join b using (k) group by 1, 2, 3),
+c as (select *, concat_ws(' > ', case when mr > 0 and lr <= 0 then 'returned' end, case when mq > hq and hq > 0 then printf('%.1f', round_even(mq / hq, 1)) || 'x quantity' when mq > hq then 'has quantity' end, case when mt > ht and ht > 0 then printf('%.1f', round_even(mt / ht, 1)) || 'x tax' when mt > ht then 'has tax' end) as chain from g)
+select k as l_orderkey, keeper, case when n = 1 then 'only member' when chain <> '' then chain when mo > 0 and lo <= 0 then 'open' else 'lower id' end as reasons from c""")
 def reasons(t):
-    return windows.reasons(t.lineitem, "l_orderkey", "l_linenumber", {"quantity": "l_quantity", "tax": "l_tax"})
+    rows = t.lineitem.withColumns({"r": (F.col("l_returnflag") == "R").cast("int"), "o": (F.col("l_linestatus") == "O").cast("int")})
+    return windows.reasons(rows, "l_orderkey", "l_linenumber", {"returned": "r"}, {"quantity": "l_quantity", "tax": "l_tax"}, {"open": "o"})
 
 
 @query("win10_reading_order", "select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by round_even(l_quantity / 10, 0), l_extendedprice, l_linenumber) as n from lineitem")

@@ -110,9 +110,9 @@ def refreshed(t):
     return merge.refreshed(view(old), keys, view(new.join(keys, "o_custkey", "left_semi")), "o_custkey")
 
 
-@query("str24_reordered", "select conv_id, turn, n as new_position from (select conv_id, turn, position, row_number() over (partition by conv_id order by case when turn = 1 then 0 end nulls last, position, turn) as n from (select conv_id, turn, turn + 1 as position from conversations where conv_id < 200)) where position <> n")
+@query("str24_reordered", "select conv_id, turn, n as new_position from (select conv_id, turn, position, row_number() over (partition by conv_id order by case when turn = 1 then 0 end nulls last, position, turn) as n from (select conv_id, turn, turn + 1 as position from conversations)) where position <> n")
 def reordered(t):
-    items = t.conversations.where("conv_id < 200").select("conv_id", "turn", (F.col("turn") + 1).alias("position"))
+    items = t.conversations.select("conv_id", "turn", (F.col("turn") + 1).alias("position"))
     wanted = t.spark.sql("select cast(1 as bigint) as id, 0 as at")
     return merge.reordered(items, ["conv_id"], "turn", wanted).select("conv_id", "turn", F.col("new_position").cast("long").alias("new_position"))
 
@@ -243,10 +243,10 @@ def nearest(t):
     return joins.nearest(e.where("id % 50 = 0"), e, 5).select("query_id", "ref_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("join9_nearest_owner", "select query_id, owner, rank from (select query_id, owner, row_number() over (partition by query_id order by d, owner) as rank from (select a.vec_id as query_id, b.label as owner, min(1 - list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))) as d from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id % 10 = 1 group by 1, 2)) where rank <= 2")
+@query("join9_nearest_owner", "select query_id, owner, rank from (select query_id, owner, row_number() over (partition by query_id order by d, owner) as rank from (select a.vec_id as query_id, b.label as owner, min(1 - list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))) as d from embeddings a, embeddings b where a.vec_id % 50 = 0 group by 1, 2)) where rank <= 2")
 def nearest_owner(t):
     e = t.embeddings
-    p = e.where("vec_id % 10 = 1").select(F.col("label").alias("owner"), F.col("embedding").alias("vector"))
+    p = e.select(F.col("label").alias("owner"), F.col("embedding").alias("vector"))
     return joins.nearest_owner(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), p, 2).select("query_id", "owner", F.col("rank").cast("long").alias("rank"))
 
 
@@ -305,9 +305,9 @@ def manifest_diff(t):
     return files.manifest_diff(a, b)
 
 
-@query("src11_folder_hints", "select 'r/' || p_brand || '/x_' || (1960 + p_size) || '-05' as folder, 'date' as kind, (1960 + p_size) || '-05' as value from part where p_size < 40 group by all")
+@query("src11_folder_hints", "select 'r/' || p_brand || '/x_' || (1960 + p_size) || '-05' as folder, 'date' as kind, (1960 + p_size) || '-05' as value from part group by all")
 def folder_hints(t):
-    f = t.part.where("p_size < 40").select(F.concat(F.lit("r/"), "p_brand", F.lit("/x_"), (1960 + F.col("p_size")).cast("string"), F.lit("-05")).alias("folder"))
+    f = t.part.select(F.concat(F.lit("r/"), "p_brand", F.lit("/x_"), (1960 + F.col("p_size")).cast("string"), F.lit("-05")).alias("folder"))
     return files.folder_hints(f, "folder").where("kind = 'date'").select("folder", "kind", "value")
 
 

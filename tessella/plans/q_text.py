@@ -1,9 +1,12 @@
 """Text, names, dates, hashes and JSON over documents, parts, orders and events; the layered search."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, values
 from ..operators import joins
+from ..session import spread
 from . import search
 from .registry import query
 
@@ -11,9 +14,9 @@ _MARKED, _PLAIN = text.MARKED, text.PLAIN
 _FOLD = f"translate(lower(x), '{_MARKED}', '{_PLAIN}')"
 
 
-@query("fn1_search_token", f"select doc_id, nullif(trim(regexp_replace({_FOLD}, '[^a-z0-9'']+', ' ', 'g')), '') as token from (select doc_id, substr(text, 1, 200) as x from documents)")
+@query("fn1_search_token", f"select doc_id, nullif(trim(regexp_replace({_FOLD}, '[^a-z0-9'']+', ' ', 'g')), '') as token from (select doc_id, text as x from documents)")
 def search_token(t):
-    return t.documents.select("doc_id", text.search_token(F.substring("text", 1, 200)).alias("token"))
+    return t.documents.select("doc_id", text.search_token(F.col("text")).alias("token"))
 
 
 @query("fn2_search_text", f"select doc_id, translate(coalesce(lang, ''), '{_MARKED}', '{_PLAIN}') as lang, length(translate(text, '{_MARKED}', '{_PLAIN}')) as n from documents")
@@ -74,9 +77,13 @@ def name_forms(t):
     return t.customer.select("c_custkey", f.alias("f")).select("c_custkey", "f.keyword", "f.formal")
 
 
-@query("fn14_folder", r"""select page_id, case when x = '' then 'Unnamed' else x end as folder from (select page_id, rtrim(substr(regexp_replace(trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]+', ' ', 'g'), '\s+', ' ', 'g')), '[. ]+$', ''), 1, 80)) as x from pages)""")
+@query("fn14_folder", r"""select page_id, case when c = '' then 'Unnamed' when regexp_matches(c, '^(con|prn|aux|nul|com[1-9]|lpt[1-9])([.].*)?$', 'i') then c || '_' else c end as folder
+from (select page_id, regexp_replace(substr(regexp_replace(regexp_replace(trim(x), '\s+', ' ', 'g'), '[<>:"/\\|?*]', '_', 'g'), 1, 80), '[. ]+$', '') as c from (select page_id, case page_id % 5 when 0 then url when 1 then 'a/b:  "' || page_id || '" . ' when 2 then 'Con.' || page_id when 3 then 'lpt' || page_id % 12 else repeat(' . ', cast(page_id % 3 as int)) end as x from pages))""")
 def folder(t):
-    return t.pages.select("page_id", text.folder_name(F.col("url")).alias("folder"))
+    k = F.col("page_id")
+    name = F.when(k % 5 == 0, F.col("url")).when(k % 5 == 1, F.concat(F.lit('a/b:  "'), k.cast("string"), F.lit('" . '))).when(k % 5 == 2, F.concat(F.lit("Con."), k.cast("string")))
+    name = name.when(k % 5 == 3, F.concat(F.lit("lpt"), (k % 12).cast("string"))).otherwise(F.repeat(F.lit(" . "), (k % 3).cast("int")))
+    return t.pages.select("page_id", text.folder_name(name).alias("folder"))
 
 
 @query("fn16_places", "select n_nationkey, n_name as city, case when n_nationkey % 2 = 0 then 'ST' end as state, r_name as country from nation join region on n_regionkey = r_regionkey")
@@ -149,13 +156,17 @@ def months(t):
     return t.orders.select("o_orderkey", dates.shift_month(F.date_format(d, "yyyy-MM"), -5).alias("earlier"), dates.months_apart(d, F.to_date(F.lit("1995-06-01"))).cast("long").alias("apart"))
 
 
-_HYGIENE = "(select o_orderkey, concat_ws('', case when o_orderkey % 2 = 0 and date_diff('day', d, date '1998-08-02') <= 366 then 'a' end, case when month(d) = 1 and day(d) = 1 and year(d) in (1970, 1980, 2000) then 'b' end, case when abs((year(d) - 1995) * 12 + month(d) - 6) > 3 then 'c' end, case when year(d) < 1993 or d > date '1998-08-02' then 'd' end) as rules from (select o_orderkey, o_orderdate::date as d from orders))"
+_HYGIENE = """(select o_orderkey, concat_ws('', case when o_orderkey % 7 = 0 then 'a' end, case when clock is not null and month(clock) = 1 and day(clock) = 1 and hour(clock) = 0 and minute(clock) = 0 then 'b' end, case when o_orderkey % 2 = 0 and abs((year(d) - 1995) * 12 + month(d) - 6) > 3 then 'c' end, case when year(d) < 1826 or d > date '1998-03-02' then 'd' end) as rules
+from (select o_orderkey, d, case when o_orderkey % 3 <> 0 then d + to_seconds((o_orderkey % 3 - 1) * 70) end as clock from (select o_orderkey, case when o_orderkey % 97 = 0 then o_orderdate::date - interval 180 year else o_orderdate::date end::date as d from orders)))"""
 
 
 def _hygiene(t):
-    d = F.col("o_orderdate").cast("date")
-    day = lambda s: F.to_date(F.lit(s))
-    return t.orders.select("o_orderkey", dates.hygiene_flags(d, day("1995-06-01"), day("1998-08-02"), F.col("o_orderkey") % 2 == 0, 1993).alias("f"))
+    k = F.col("o_orderkey")
+    d = F.when(k % 97 == 0, F.add_months(F.col("o_orderdate").cast("date"), -2160)).otherwise(F.col("o_orderdate").cast("date"))
+    rows = t.orders.select("o_orderkey", d.alias("d"))
+    clock = F.when(k % 3 != 0, F.timestamp_seconds(F.unix_timestamp(F.col("d").cast("timestamp")) + (k % 3 - 1) * 70))
+    month = F.when(k % 2 == 0, F.to_date(F.lit("1995-06-01")))
+    return rows.select("o_orderkey", dates.hygiene_flags(F.col("d"), clock, month, F.to_date(F.lit("1998-03-02")), k % 7 == 0).alias("f"))
 
 
 @query("fx8_hygiene", f"select o_orderkey, rules, nullif(substr(rules, 1, 1), '') as first from {_HYGIENE}")
@@ -190,10 +201,10 @@ def bands(t):
     return t.part.select("p_partkey", F.explode(values.bands(F.sha2("p_name", 256))).alias("b")).select("p_partkey", "b.band", "b.value")
 
 
-@query("fx16_scores", "select l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(least(greatest((l_quantity - 5) / 20, 0), 1) * (1 - least(greatest((l_tax - 0.02) / 0.04, 0), 1)) * least(least(greatest((l_discount - 0) / 0.03, 0), 1), 1 - least(greatest((l_discount - 0.06) / 0.04, 0), 1)), 6) as score from lineitem where l_orderkey < 5000")
+@query("fx16_scores", "select l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(least(greatest((l_quantity - 5) / 20, 0), 1) * (1 - least(greatest((l_tax - 0.02) / 0.04, 0), 1)) * least(least(greatest((l_discount - 0) / 0.03, 0), 1), 1 - least(greatest((l_discount - 0.06) / 0.04, 0), 1)), 6) as score from lineitem")
 def scores(t):
     s = values.ramp_up(F.col("l_quantity"), 5, 25) * values.ramp_down(F.col("l_tax"), 0.02, 0.06) * values.plateau(F.col("l_discount"), 0.0, 0.03, 0.06, 0.1)
-    return t.lineitem.where("l_orderkey < 5000").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.round(s, 6).alias("score"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.round(s, 6).alias("score"))
 
 
 @query("fx19_cascade", "select l_returnflag, first, rest, count(*) as n from (select l_returnflag, case when c[1] is null then '-' else c[1] end as first, array_to_string(c[2:], '+') as rest from (select l_returnflag, list_filter([case when l_quantity > 40 then 'bulk' end, case when l_discount >= 0.08 then 'cut' end, case when l_tax <= 0.01 then 'free' end], lambda x: x is not null) as c from lineitem)) group by all")
@@ -215,9 +226,9 @@ def boxes(t):
     return t.part.select("p_partkey", F.round(s["x"], 9).alias("bx"), F.round(s["y"], 9).alias("by"), s["w"].alias("bw"))
 
 
-@query("fx24_child_key", "select l_orderkey, l_partkey, sha256(l_orderkey || ':' || l_partkey) as key from lineitem where l_orderkey < 3000")
+@query("fx24_child_key", "select l_orderkey, l_partkey, sha256(l_orderkey || ':' || l_partkey) as key from lineitem")
 def child_key(t):
-    return t.lineitem.where("l_orderkey < 3000").select("l_orderkey", "l_partkey", values.child_key(F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("key"))
+    return t.lineitem.select("l_orderkey", "l_partkey", values.child_key(F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("key"))
 
 
 @query("fx25_payload_hash", """select c_custkey, sha256('{"id":' || c_custkey || ',"none":null,"segment":"' || c_mktsegment || '"}') as h from customer""")
@@ -236,9 +247,9 @@ def json_set(t):
     return t.events.select("event_id", values.json_set(F.col("props"), "seen", F.col("event_type")).alias("props"))
 
 
-@query("fx28_normalised", "select l_orderkey, l_linenumber, l_partkey, least(greatest(l_quantity / 40, 0.2), 1.0) as q from lineitem where l_orderkey < 3000")
+@query("fx28_normalised", "select l_orderkey, l_linenumber, l_partkey, least(greatest(l_quantity / 40, 0.2), 1.0) as q from lineitem")
 def normalised(t):
-    return t.lineitem.where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_partkey", values.clamp(F.col("l_quantity") / 40, 0.2, 1.0).alias("q"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", values.clamp(F.col("l_quantity") / 40, 0.2, 1.0).alias("q"))
 
 
 @query("fx29_first_object", "select event_id, props as object from events")
@@ -247,13 +258,41 @@ def first_object(t):
     return t.events.select("event_id", values.first_object(loose).alias("object"))
 
 
-@query("fx3_free_dates")
+#: Ways to say a date of the year y, month m and day d, with what is meant; one for each row of part in turn.
+_SAID = (
+    ("M y", "month"), ("M of y", "month"), ("m/y", "month"), ("y-m", "month"), ("d M y", "exact"), ("dth of M, y", "exact"), ("M d, y", "exact"), ("m/d/y", "exact"), ("y-m-d", "exact"),
+    ("y", "year"), ("circa y", "year"), ("y?", "year"), ("around y!", "year"), ("summer y", "season"), ("Winter of y", "season"), ("Christmas y", "feast"), ("xmas of y", "feast"),
+    ("the 60s", "60"), ("sixties", "60"), ("20s", "20"), ("in the early 1930s", "30"), ("no idea", "none"), ("M", "none"), ("M 31, y", "last"), ("99999", "none"),
+)
+_PICK = f"p_partkey % {len(_SAID)}"
+
+
+def _case(values, otherwise="null"):
+    return f"case {_PICK} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values) if v is not None) + f" else {otherwise} end"
+
+
+def _first(kind, said):
+    fixed = {"60": "date '1960-01-01'", "20": "date '2020-01-01'", "30": "date '1930-01-01'", "feast": "make_date(y, 12, 1)", "year": "make_date(y, 1, 1)", "month": "make_date(y, m, 1)", "exact": "make_date(y, m, d)"}
+    if kind == "season":
+        return f"make_date(y, {7 if said.startswith('summer') else 1}, 1)"
+    return "case when day(last_day(make_date(y, m, 1))) = 31 then make_date(y, m, 31) end" if kind == "last" else fixed.get(kind)
+
+
+_PRECISIONS = {"season": "year", "feast": "month", "60": "decade", "20": "decade", "30": "decade", "last": "exact"}
+
+
+@query("fx3_free_dates", f"""select p_partkey, meant as date, case when meant is not null then prec end as precision from (select p_partkey, case when y between 1800 and 2100 or {_PICK} in ({', '.join(str(i) for i, (_, k) in enumerate(_SAID) if k in ('60', '20', '30'))}) then {_case([_first(k, s) for s, k in _SAID])} end as meant, {_case([f"'{_PRECISIONS.get(k, k)}'" for _, k in _SAID])} as prec
+from (select p_partkey, cast(1790 + p_partkey % 320 as int) as y, cast(1 + p_partkey % 12 as int) as m, cast(1 + p_partkey % 28 as int) as d from part))""")
 def free_dates(t):
-    k = F.col("p_partkey") % 6
-    said = F.when(k == 0, "March 1962").when(k == 1, "the 60s").when(k == 2, "3/1962").when(k == 3, "summer 1971").when(k == 4, "Christmas 1965").otherwise("no idea")
-    parse = F.udf(lambda s: (lambda p: (p.date, p.precision) if p else None)(dates.parse_free(s)), "struct<date: date, precision: string>")
-    said = t.part.select(said.alias("said")).groupBy("said").agg(F.count("*").alias("n"))
-    return said.select("said", "n", parse("said").alias("p")).select("said", "n", "p.date", "p.precision")
+    k = F.col("p_partkey")
+    m = 1 + k % 12
+    month = F.get(F.array(*[F.lit(x.capitalize()) for x in dates.MONTHS]), (m - 1).cast("int"))
+    values_ = {"y": (1790 + k % 320).cast("string"), "d": (1 + k % 28).cast("string"), "m": m.cast("string"), "M": month}
+    pieces = lambda said: [values_[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\b([ydmM])(?=th\b|\b)", said))]
+    said = F.lit(None).cast("string")
+    for i, (form, _) in enumerate(_SAID):
+        said = F.when(k % len(_SAID) == i, F.concat(*pieces(form))).otherwise(said)
+    return t.part.select("p_partkey", dates.free_date(said).alias("p")).select("p_partkey", "p.date", "p.precision")
 
 
 def _sources(t):
@@ -261,7 +300,7 @@ def _sources(t):
     day = F.date_add(F.to_date(F.lit("1960-01-01")), (F.col("doc_id") % 15000).cast("int"))
     k = F.col("doc_id") % 3
     p = F.when(k == 0, "exact").when(k == 1, "month").otherwise("year")
-    rows = t.documents.select("doc_id", "text", "source", "lang", dates.span(day, p).alias("s"), p.alias("precision")).select("doc_id", "text", "source", "lang", "s.lo", "s.hi", "precision")
+    rows = spread(t.documents).select("doc_id", "text", "source", "lang", dates.span(day, p).alias("s"), p.alias("precision")).select("doc_id", "text", "source", "lang", "s.lo", "s.hi", "precision")
     return search.Sources(rows=rows, id="doc_id", weights={"b": "source", "d": "text"}, spans=("lo", "hi", "precision"), fold=False)
 
 
@@ -277,17 +316,41 @@ def ranked(t):
     return search.search(_sources(t), "worthless 1960-1961").select("row_id", "score")
 
 
-@query("search_explained")
+_LABEL = "case doc_id % 3 when 0 then strftime(d, '%-d %B %Y') when 1 then strftime(d, '%B %Y') else cast(year(d) as varchar) end"
+
+
+@query("search_explained", f"""with spans as (select doc_id, text, source, case doc_id % 3 when 0 then d when 1 then date_trunc('month', d)::date else make_date(year(d), 1, 1) end as lo, case doc_id % 3 when 0 then d when 1 then last_day(d) else make_date(year(d), 12, 31) end as hi, case doc_id % 3 when 2 then 55 else 75 end as s, {_LABEL} as label from (select *, date '1960-01-01' + cast(doc_id % 15000 as int) as d from documents)),
+hits as (select *, case when list_contains(regexp_split_to_array(lower(source), '[^a-z0-9]+'), 'worthless') then 70 when list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), 'worthless') then 40 end as a, s - case when lo >= date '1960-01-01' and hi <= date '1969-12-31' then 0 else 8 end as b from spans where lo <= date '1969-12-31' and hi >= date '1960-01-01'),
+page as (select * from hits where a is not null order by a + b desc, doc_id desc limit 20),
+cut as (select *, greatest(strpos(lower(text), 'worthless') - 30, 1) as x, least(strpos(lower(text), 'worthless') + 70, length(text) + 1) as y from page)
+select doc_id as row_id, cast(a + b as bigint) as score, 'Mentioned in its text (' || case a when 70 then 'b' else 'd' end || '); Dated ' || label as why, case when contains(lower(text), 'worthless') then case when x > 1 then '…' else '' end || trim(substr(text, x, y - x)) || case when y <= length(text) then '…' else '' end end as snippet from cut""")
 def explained(t):
     s = _sources(t)
     page = search.search(s, "worthless 1960 to 1969", 20)
     return search.explained(page, s, "worthless 1960 to 1969", "text").select("row_id", "score", F.array_join("why", "; ").alias("why"), "snippet")
 
 
-@query("search_names")
+@query("search_names", """select o_orderkey as row_id, 80 + max(case when l_returnflag = 'R' then 20 else 50 end) as score, 'Shows Supplier; Mentioned in its text (a)' as why from orders join lineitem on o_orderkey = l_orderkey where o_orderpriority = '1-URGENT' group by 1 order by 2 desc, 1 desc limit 50""")
 def names(t):
     people = t.supplier.select(F.col("s_suppkey").alias("id"), F.lower(F.regexp_replace("s_name", "[^A-Za-z]", "")).alias("token"))
     people = people.withColumn("key", text.phonetic(F.col("token")))
     tagged = t.lineitem.select(F.col("l_orderkey").alias("row_id"), F.col("l_suppkey").alias("person_id"), (F.col("l_returnflag") == "R").alias("suggested"))
     s = search.Sources(rows=t.orders.select("o_orderkey", F.col("o_orderpriority").alias("text")), id="o_orderkey", weights={"a": "text"}, names=people, tagged=tagged)
-    return search.search(s, "suplier urgent").select("row_id", "score", F.array_join("why", "; ").alias("why"))
+    page = search.search(s, "suplier urgent")
+    return search.explained(page, s, "suplier urgent").select("row_id", "score", F.array_join("why", "; ").alias("why"))
+
+
+@query("search_places", """with p as (select c_custkey as id, case c_custkey % 3 when 0 then 100 when 1 then 95 else 90 end as rank from customer where c_mktsegment = 'BUILDING')
+select o_orderkey as row_id, cast(88 + rank + case when o_orderstatus = 'P' then -30 else 0 end as bigint) as score, 'Shows Building; Taken at ' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) as why
+from orders join p on o_custkey = id join customer on c_custkey = id join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'EUROPE' order by 2 desc, 1 desc limit 60""")
+def places_and_kinds(t):
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "exact").when(k % 3 == 1, "variant").otherwise("nickname")
+    people = t.customer.select(k.alias("id"), F.lower("c_mktsegment").alias("token"), F.lit(None).cast("string").alias("key"), kind.alias("kind"))
+    tagged = t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("person_id"), (F.col("o_orderstatus") == "P").alias("suggested"))
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    one = lambda name, kind: n.select(F.col("n_nationkey").alias("id"), F.lower(name).alias("token"), F.lit(None).cast("string").alias("key"), F.lit(kind).alias("kind"))
+    placed = t.orders.join(t.customer, F.col("o_custkey") == k).select(F.col("o_orderkey").alias("row_id"), F.col("c_nationkey").alias("place_id"), F.lit(False).alias("suggested"))
+    s = search.Sources(rows=t.orders.select("o_orderkey", F.lit("").alias("text")), id="o_orderkey", weights={"a": "text"}, names=people, tagged=tagged, places=one("n_name", "exact").unionByName(one("r_name", "alias")), placed=placed)
+    page = search.search(s, "building europe", 60)
+    return search.explained(page, s, "building europe").select("row_id", "score", F.array_join("why", "; ").alias("why"))

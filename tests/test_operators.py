@@ -39,7 +39,7 @@ def test_text_functions(spark):
         text.snippet(F.lit("x" * 50 + " word " + "y" * 90), "word"),
         text.plural(F.lit(1), "photo"),
     )
-    assert list(r)[:9] == ["eva o'neil nee low", None, "a b c", "_CON", "AL", "3.0 MB", "jpg", "$1 $1", 'Ada "Ad" Lee Jr. (née Low)']
+    assert list(r)[:9] == ["eva o'neil nee low", None, "a_b_ _c_", "CON_", "AL", "3.0 MB", "jpg", "$1 $1", 'Ada "Ad" Lee Jr. (née Low)']
     assert r[9].startswith("…x") and r[9].endswith("y…") and "word" in r[9] and r[10] == "1 photo"
 
 
@@ -52,29 +52,85 @@ def test_phonetic_key_of_nothing():
     assert text.phonetic_key("") is None and text.phonetic_key("12") is None
 
 
+SAID = [
+    ("1962", ("1962-01-01", "year")),
+    ("March 1962", ("1962-03-01", "month")),
+    ("March of 1962", ("1962-03-01", "month")),
+    ("sept 1962", ("1962-09-01", "month")),
+    ("3/1962", ("1962-03-01", "month")),
+    ("1962-3", ("1962-03-01", "month")),
+    ("the 60s", ("1960-01-01", "decade")),
+    ("1960s", ("1960-01-01", "decade")),
+    ("20s", ("2020-01-01", "decade")),
+    ("the sixties", ("1960-01-01", "decade")),
+    ("circa 1950", ("1950-01-01", "year")),
+    ("abt 1962", ("1962-01-01", "year")),
+    ("1962?", ("1962-01-01", "year")),
+    ("4 July 1962", ("1962-07-04", "exact")),
+    ("12th of March, 1962", ("1962-03-12", "exact")),
+    ("July 4th, 1962", ("1962-07-04", "exact")),
+    ("7/4/1962", ("1962-07-04", "exact")),
+    ("1962-07-04", ("1962-07-04", "exact")),
+    ("summer 1971", ("1971-07-01", "year")),
+    ("winter of 1971", ("1971-01-01", "year")),
+    ("Christmas 1965", ("1965-12-01", "month")),
+    ("xmas 1965", ("1965-12-01", "month")),
+    ("30 February 1962", None),
+    ("29 February 1960", ("1960-02-29", "exact")),
+    ("1799", None),
+    ("2101", None),
+    ("May", None),
+    ("12345", None),
+    ("no date", None),
+    ("", None),
+    (None, None),
+]
+
+
+def test_free_dates(spark):
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(SAID)], "i int, s string")
+    got = [r.p and (str(r.p.date), r.p.precision) for r in df.orderBy("i").select(dates.free_date(F.col("s")).alias("p")).collect()]
+    assert got == [w for _, w in SAID]
+    for said, want in SAID:
+        p = dates.parse_free(said)
+        assert (p and (str(p.date), p.precision)) == want
+
+
+@pytest.mark.parametrize(
+    "date,clock,month,scan,want",
+    [
+        ("1998-05-03", "1998-05-03 12:00:00", None, False, ""),
+        ("1998-05-03", None, None, True, "a"),
+        ("2003-01-01", "2003-01-01 00:00:30", None, False, "b"),
+        ("2003-01-01", "2003-01-01 00:01:00", None, False, ""),
+        ("1998-05-03", None, "1998-02-01", False, ""),
+        ("1998-05-03", None, "1998-01-01", False, "c"),
+        ("1825-12-31", None, None, False, "d"),
+        ("2030-01-01", None, None, False, "d"),
+        ("2030-01-01", "2030-01-01 00:00:00", "1998-01-01", True, "abcd"),
+    ],
+)
+def test_date_hygiene(spark, date, clock, month, scan, want):
+    day = lambda x: F.lit(x).cast("date")
+    flags = dates.hygiene_flags(day(date), F.lit(clock).cast("timestamp"), day(month), day("2020-01-01"), F.lit(scan))
+    assert "".join(one(spark, flags)[0]) == want
+
+
 @pytest.mark.parametrize(
-    "said,want",
+    "taken,scan,modified,want",
     [
-        ("1962", ("1962-01-01", "year")),
-        ("March 1962", ("1962-03-01", "month")),
-        ("3/1962", ("1962-03-01", "month")),
-        ("the 60s", ("1960-01-01", "decade")),
-        ("1960s", ("1960-01-01", "decade")),
-        ("circa 1950", ("1950-01-01", "year")),
-        ("4 July 1962", ("1962-07-04", "exact")),
-        ("July 4th, 1962", ("1962-07-04", "exact")),
-        ("7/4/1962", ("1962-07-04", "exact")),
-        ("1962-07-04", ("1962-07-04", "exact")),
-        ("summer 1971", ("1971-01-01", "year")),
-        ("Christmas 1965", ("1965-12-01", "month")),
-        ("30 February 1962", None),
-        ("no date", None),
-        (None, None),
+        (None, True, None, None),
+        ("1998-05-03 12:00:00", True, None, "scanner_clock"),
+        ("1998-01-01 00:00:59", False, None, "unset_camera_clock"),
+        ("1820-05-03 12:00:00", False, None, "implausible_date"),
+        ("1998-05-04 12:00:00", False, "1998-05-03 12:00:00", None),
+        ("1998-05-04 12:00:01", False, "1998-05-03 12:00:00", "implausible_date"),
+        ("1998-05-04 12:00:01", False, None, None),
     ],
 )
-def test_free_dates(said, want):
-    p = dates.parse_free(said)
-    assert (p and (str(p.date), p.precision)) == want
+def test_dates_at_ingest(spark, taken, scan, modified, want):
+    at = lambda x: F.lit(x).cast("timestamp")
+    assert one(spark, dates.ingest_reason(at(taken), F.lit(scan), at(modified)))[0] == want
 
 
 def test_week_window_wraps(spark):
@@ -222,12 +278,90 @@ def test_assigned_regions(spark):
     assert got == {1: 10, 2: None, 3: None}
 
 
-def test_query_parser():
-    q = search.parse('grandma "garden party" March 1962 before 1950 1960-1965 with the beach')
-    assert [(t.text, t.quoted, t.is_date) for t in q.terms] == [("grandma", False, False), ("garden party", True, False), ("March 1962", False, True), ("before 1950", False, True), ("1960-1965", False, True), ("beach", False, False)]
-    assert q.ignored == ["with", "the"]
-    assert (q.terms[3].lo, q.terms[3].hi) == (None, dt.date(1949, 12, 31))
-    assert len(search.parse(" ".join(f"w{i}" for i in range(20))).terms) == search.MOST_TERMS
+D = dt.date
+
+
+@pytest.mark.parametrize(
+    "q,lo,hi,label",
+    [
+        ("1962", D(1962, 1, 1), D(1962, 12, 31), "1962"),
+        ("1962-1965", D(1962, 1, 1), D(1965, 12, 31), "1962–1965"),
+        ("1965-1962", D(1962, 1, 1), D(1965, 12, 31), "1962–1965"),
+        ("1962 to 1965", D(1962, 1, 1), D(1965, 12, 31), "1962–1965"),
+        ("1960s", D(1960, 1, 1), D(1969, 12, 31), "the 1960s"),
+        ("60s", D(1960, 1, 1), D(1969, 12, 31), "the 1960s"),
+        ("the sixties", D(1960, 1, 1), D(1969, 12, 31), "the 1960s"),
+        ("before 1950", None, D(1949, 12, 31), "before 1950"),
+        ("after 1980", D(1981, 1, 1), None, "after 1980"),
+        ("since 1980", D(1981, 1, 1), None, "after 1980"),
+        ("March 1962", D(1962, 3, 1), D(1962, 3, 31), "March 1962"),
+        ("1962-03", D(1962, 3, 1), D(1962, 3, 31), "March 1962"),
+        ("summer 1971", D(1971, 1, 1), D(1971, 12, 31), "1971"),
+        ("February 1960", D(1960, 2, 1), D(1960, 2, 29), "February 1960"),
+        ("February 1961", D(1961, 2, 1), D(1961, 2, 28), "February 1961"),
+        ("May 1962", D(1962, 5, 1), D(1962, 5, 31), "May 1962"),
+    ],
+)
+def test_query_dates(q, lo, hi, label):
+    (t,) = search.parse(q).terms
+    assert (t.lo, t.hi, t.label) == (lo, hi, label)
+
+
+def test_query_words():
+    for name in ("May", "June", "Rose", "April"):
+        (t,) = search.parse(name).terms
+        assert not t.is_date and t.text == name
+    phrase, year = search.parse('"the lake" 1962').terms
+    assert (phrase.text, phrase.quoted, phrase.is_date, year.label) == ("the lake", True, False, "1962")
+    (quoted,) = search.parse('"1962"').terms
+    assert quoted.quoted and not quoted.is_date
+    for q in ("", "   ", "xyzzy", "???", "1", "12345", "99999", "before", "after 20", "1962-", "-1962", "a" * 500, '"unclosed', "peggy & chuck", None):
+        assert all(isinstance(t.text, str) for t in search.parse(q).terms)
+    assert not any(t.is_date for q in ("xyzzy", "before", "1", "12345") for t in search.parse(q).terms)
+    t = search.parse("peggy porch 1962").terms
+    assert [(x.ix, x.text) for x in t] == [(0, "peggy"), (1, "porch"), (2, "1962")]
+    many = search.parse("a b c d e f g h i j k")
+    assert len(many.terms) == 8 and many.truncated and not search.parse("a b").truncated
+    t = search.parse("peggy in the 60s").terms
+    assert [(x.text, x.label) for x in t] == [("peggy", None), ("in the 60s", "the 1960s")]
+    assert search.parse("peggy before 1950").describe() == "peggy + before 1950"
+
+
+def test_search_names_places_and_kinds(spark):
+    rows = spark.createDataFrame([(i, "") for i in range(1, 8)], "id long, a string")
+    names = spark.createDataFrame([(1, "margaret", None, "exact"), (1, "peggy", None, "nickname"), (2, "margret", None, "variant")], "id long, token string, key string, kind string")
+    tagged = spark.createDataFrame([(1, 1, False), (2, 1, True), (3, 2, False)], "row_id long, person_id long, suggested boolean")
+    places = spark.createDataFrame([(9, "lake placid", None, "exact"), (9, "the lake", None, "alias")], "id long, token string, key string, kind string")
+    placed = spark.createDataFrame([(1, 9, False), (4, 9, True)], "row_id long, place_id long, suggested boolean")
+    s = search.Sources(rows=rows, id="id", weights={"a": "a"}, names=names, tagged=tagged, places=places, placed=placed)
+    found = lambda q: [(r.row_id, r.score) for r in search.search(s, q).collect()]
+    assert found("margaret") == [(1, 100), (2, 70)] and found("peggy") == [(1, 90), (2, 60)] and found("margret") == [(3, 95)]
+    assert found('"lake placid"') == [(1, 88), (4, 58)] == found('"the lake"')
+    assert found('peggy "the lake"') == [(1, 178)]
+    page = search.explained(search.search(s, 'peggy "the lake"'), s, 'peggy "the lake"')
+    assert page.first().why == ["Shows Peggy", "Taken at The Lake"]
+
+
+def test_spans_of_any_number(spark):
+    from tessella.operators import joins
+
+    day = lambda n: dt.date(1990, 1, 1) + dt.timedelta(days=n)
+    rows = spark.createDataFrame([(i, day(i * 37 % 4000), day(i * 37 % 4000 + i % 400)) for i in range(120)], "id int, lo date, hi date")
+    spans = [(i, None if i % 5 == 0 else day(i * 91 % 4000), None if i % 7 == 0 else day(i * 91 % 4000 + 60)) for i in range(60)]
+    q = spark.createDataFrame(spans, "ix int, q_lo date, q_hi date")
+    few, many = (sorted(map(tuple, joins.in_span(rows, "lo", "hi", q, few=n).select("id", "ix", "score").collect())) for n in (1000, 1))
+    assert few == many and len(few) > 1000
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    from tessella.operators import joins
+
+    monkeypatch.setattr(joins.in_blocks, "__defaults__", (7,))
+    q = spark.createDataFrame([(i, i * 7919) for i in range(40)], "q_id long, x long")
+    r = spark.createDataFrame([(i, i * 104729) for i in range(60)], "r_id long, y long")
+    got = {x.q_id: (x.d, x.r_id) for x in joins.nearest_hash(q, r, F.bit_count(F.col("x").bitwiseXOR(F.col("y"))), 6).collect()}
+    want = {i: min(((i * 7919 ^ j * 104729).bit_count(), j) for j in range(60)) for i in range(40)}
+    assert got == {i: x for i, x in want.items() if x[0] <= 6} != {}
 
 
 def test_search_layers(spark):
@@ -259,8 +393,9 @@ def test_file_sources(spark, tmp_path):
 
 
 def test_natural_order(spark):
-    df = spark.createDataFrame([("img10",), ("img9",), ("IMG1",)], "n string")
-    assert [r.n for r in df.orderBy(windows.natural_key(F.col("n"))).collect()] == ["IMG1", "img9", "img10"]
+    names = ["IMG1", "img9", "img10", "x1699999999999.jpg", "x1700000000000.jpg", "x10000000000000.jpg"]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "n string")
+    assert [r.n for r in df.orderBy(windows.natural_key(F.col("n"))).collect()] == names
 
 
 def test_manifest_and_csv(spark, tmp_path):
