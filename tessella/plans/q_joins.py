@@ -287,11 +287,6 @@ def trailing_hour(t):
     return windows.trailing_count(t.events, "user_id", "ts", 3600).select("event_id", "n_recent")
 
 
-@query("ops1_admitted")
-def admitted(t):
-    return windows.admitted(t.events, "user_id", "ts", "event_id", 3, 86400)
-
-
 @query("ops2_tumbling", "select user_id, to_timestamp(floor(epoch(ts) / 900) * 900)::timestamp as start, count(*) as n, count(*) > 1 as over from events group by 1, 2")
 def tumbling(t):
     return windows.tumbling(t.events, "user_id", "ts", "15 minutes", 1).withColumn("start", F.col("start").cast("timestamp"))
@@ -307,12 +302,6 @@ def stratified(t):
     return windows.stratified(t.orders, "o_orderpriority", "o_orderkey", 10, 35).select("o_orderkey", "o_orderpriority")
 
 
-@query("win4_bursts")
-def bursts(t):
-    e = t.events.withColumn("day", F.to_date("ts"))
-    return windows.bursts(e, ["user_id", "day"], "ts", "event_id", window=3600.0, least=2)
-
-
 @query("fn15_unique_labels", "with a as (select c_custkey, case when count(*) over (partition by lower(c_mktsegment || c_nationkey)) > 1 then c_mktsegment || c_nationkey || ' (b. ' || c_custkey % 40 || ')' else c_mktsegment || c_nationkey end as l from customer) select c_custkey, case when count(*) over (partition by lower(l)) > 1 then l || ' #' || c_custkey else l end as label from a")
 def unique_labels(t):
     c = t.customer.select("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("name"), (F.col("c_custkey") % 40).alias("year"))

@@ -261,11 +261,6 @@ def mean_distance(t):
     return aggregates.mean_pairwise_cosine(t.embeddings, "label", "embedding").select("label", F.round("mean_distance", 6).alias("mean_distance"))
 
 
-@query("win8_by_centroid")
-def by_centroid(t):
-    return cluster.by_centroid(t.embeddings.select("label", "vec_id", "embedding"), "label", "vec_id", "embedding")
-
-
 @query("set11_clusters")
 def clusters(t):
     return cluster.clusters(t.embeddings, "label", "vec_id", "embedding")

@@ -52,9 +52,9 @@ def folder_hints(df: DataFrame, folder: str) -> DataFrame:
     return month.unionByName(album)
 
 
-def manifest_groups(spark: SparkSession, path: str) -> DataFrame:
-    """(file, group_id) from JSON manifests {"files": [{"name", "groups": [..]}]}."""
-    m = spark.read.schema("files array<struct<name: string, groups: array<bigint>>>").json(path, multiLine=True)
+def manifest_groups(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, group_id) from JSON manifests {"files": [{"name", "groups": [..]}]}, one per file or, with `lines`, per line."""
+    m = spark.read.schema("files array<struct<name: string, groups: array<bigint>>>").json(path, multiLine=not lines)
     return m.select(F.explode("files").alias("f")).select(F.col("f.name").alias("file"), F.explode("f.groups").alias("group_id"))
 
 
