@@ -60,8 +60,9 @@ def without_pairs(pairs: DataFrame, excluded: DataFrame) -> DataFrame:
     return pairs.join(ordered_pairs(excluded, *excluded.columns[:2]), ["a", "b"], "left_anti")
 
 
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, group): group is the smallest id reachable. Large-star and small-star steps over written tables."""
+def stars(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, group) of all that can reach a smaller id: group is the smallest. Large-star and small-star steps over written
+    tables, until nothing changes."""
     e = kept_table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(e)
@@ -80,7 +81,12 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    members = e.groupBy("a").agg(F.min("b").alias("group")).select(F.col("a").alias("id"), "group")
+    return e.groupBy("a").agg(F.min("b").alias("group")).select(F.col("a").alias("id"), "group")
+
+
+def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, group) of all that occur in a pair of two: group is the smallest id reachable."""
+    members = stars(pairs, rounds)
     return members.unionByName(members.select(F.col("group").alias("id"), "group").distinct())
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
 from functools import reduce
+from uuid import uuid4
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,5 +110,57 @@ def export_plan(rows: DataFrame, id_col: str, path: Column, lists: dict[str, tup
     return rows.withColumns({"destination": path, "missing": ~F.coalesce(present, F.lit(False))})
 
 
+ARCHIVES = "archive string, entries long, bytes long"
+
+
+def zip_archives(rows: DataFrame, folder: str, archives: int, name: str = "destination", content: str = "content") -> DataFrame:
+    """Writes rows (name, content as bytes) into ZIP archives, stored without compression, and returns their manifest (archive,
+    entries, bytes). A row's archive follows from its name; each is written by one task under a temporary name, entry by entry
+    in order of the names, and moved to its own; a repeated task writes the same again. Rows without content are left out, and
+    of equal names the second gets " (2)" and so on before its extension."""
+    spark = rows.sparkSession
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        out, sink, number, last, same, n = None, None, None, None, 1, 0
+        done: list[tuple[str, int, int]] = []
+
+        def close() -> None:
+            out.close()
+            size = sink.tell()
+            sink.close()
+            final = f"archive-{number:05d}.zip"
+            fs.move(f"{root}/{temporary}", f"{root}/{final}")
+            done.append((final, n, size))
+
+        for b in batches:
+            for part, entry, data in zip(*(b.column(i) for i in range(3))):
+                part, entry, data = part.as_py(), entry.as_py(), data.as_py()
+                if part != number:
+                    if out:
+                        close()
+                    number, n, last = part, 0, None
+                    temporary = f".archive-{number:05d}.{uuid4().hex}.tmp"
+                    sink = fs.open_output_stream(f"{root}/{temporary}", compression=None)
+                    out = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
+                same = same + 1 if entry == last else 1
+                last = entry
+                stem, dot, ext = entry.rpartition(".")
+                unique = entry if same == 1 else f"{stem} ({same}){dot}{ext}" if dot else f"{entry} ({same})"
+                out.writestr(zipfile.ZipInfo(unique, (1980, 1, 1, 0, 0, 0)), data)
+                n += 1
+        if out:
+            close()
+        columns = list(zip(*done)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["archive", "entries", "bytes"])
+
+    part = F.pmod(F.xxhash64(name), F.lit(archives)).cast("int")
+    chosen = rows.where(F.col(content).isNotNull()).select(part.alias("part"), F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    placed = chosen.repartitionById(archives, "part").sortWithinPartitions("part", "name", F.xxhash64("content"))
+    placed.mapInArrow(task, ARCHIVES).write.mode("overwrite").parquet(f"{folder}-manifest")
+    return spark.read.schema(ARCHIVES).parquet(f"{folder}-manifest")
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

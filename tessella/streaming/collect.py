@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def results_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -69,18 +71,53 @@ def limited(stream: DataFrame, key: str, time: str, limit: int, seconds: int = 3
     return stream.select(key, time).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} timestamp, ok boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+@contextmanager
+def pool(spark: SparkSession, name: str) -> Iterator[None]:
+    """Jobs started inside run in a pool of Spark's fair scheduler (spark.scheduler.mode=FAIR; weights and least shares are the
+    cluster's allocation file), so that a page someone waits for isn't behind a batch."""
+    before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
+
+
 @dataclass
 class Job:
-    """A pluggable batch job: what to select, how to map it (pandas batches, a row's failure in `error`), where it goes."""
+    """A pluggable batch job: what to select, how to map it (pandas batches), where it goes. `keys` name a row when it fails."""
 
     name: str
     select: Callable[[SparkSession], DataFrame]
     run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
     schema: str
     write: Callable[[DataFrame], None]
+    keys: tuple[str, ...] = ()
 
     def go(self, spark: SparkSession, chunk_rows: int = 50) -> None:
-        self.write(self.select(spark).mapInPandas(self.run, f"{self.schema}, error string"))
+        """Hands rows over in chunks. Where a chunk fails its rows are tried one by one, so that a row's failure is its own: it
+        becomes a row of its keys, nulls and `error`. A run may also set `error` itself."""
+        run, keys = self.run, self.keys
+        names = [f.name for f in StructType.fromDDL(self.schema).fields]
+
+        def shaped(out: pd.DataFrame) -> pd.DataFrame:
+            # Pandas may keep texts in Arrow chunks, which Spark doesn't take
+            return out.reindex(columns=[*names, "error"]).astype({"error": object})
+
+        def tried(rows: pd.DataFrame) -> list[pd.DataFrame]:
+            try:
+                return [shaped(x) for x in run(iter([rows]))]
+            except Exception as e:
+                if len(rows) > 1:
+                    return [x for i in range(len(rows)) for x in tried(rows.iloc[i : i + 1])]
+                return [shaped(rows[[k for k in keys if k in names]].assign(error=f"{type(e).__name__}: {e}"))]
+
+        def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), chunk_rows):
+                    yield from tried(b.iloc[lo : lo + chunk_rows])
+
+        self.write(self.select(spark).mapInPandas(chunks, f"{self.schema}, error string"))
 
 
 REGISTRY: dict[str, Job] = {}

@@ -45,3 +45,46 @@ def test_queue(spark):
     assert [r.name for r in collect.resumable(q, ["classify", "describe"]).collect()] == ["c", "a", "b"]
     inbox = spark.createDataFrame([("x",), ("y",)], "ref string")
     assert [r.ref for r in collect.pending(inbox, spark.createDataFrame([("x",)], "ref string")).collect()] == ["y"]
+
+
+def test_a_row_that_fails_fails_alone(spark):
+    got = []
+
+    def run(batches):
+        for b in batches:
+            assert len(b) <= 5
+            if (b.id == 13).any():
+                raise ValueError("unlucky")
+            yield b.assign(v=b.id * 2)
+
+    collect.Job("half", lambda s: s.range(30).repartition(2), run, "id long, v long", lambda df: got.extend(df.collect()), ("id",)).go(spark, 5)
+    assert sorted((r.id, r.v) for r in got if r.error is None) == [(i, i * 2) for i in range(30) if i != 13]
+    assert [(r.id, r.v, r.error) for r in got if r.error] == [(13, None, "ValueError: unlucky")]
+
+
+def test_pools_end_where_they_began(spark):
+    with collect.pool(spark, "pages"):
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "pages"
+        assert spark.range(3).count() == 3
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_zip_archives(spark, tmp_path):
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from tessella.sources import files
+
+    rows = spark.range(200).select(F.concat(F.lit("1962/"), (F.col("id") % 190).cast("string"), F.lit(".jpg")).alias("destination"), F.when(F.col("id") != 7, F.concat(F.lit("pixels "), F.col("id").cast("string"))).alias("content"))
+    m = files.zip_archives(rows, str(tmp_path / "zips"), 5).collect()
+    assert sum(r.entries for r in m) == 199 and len(m) == 5
+    found = {}
+    for r in m:
+        with zipfile.ZipFile(tmp_path / "zips" / r.archive) as z:
+            assert z.testzip() is None and len(z.namelist()) == r.entries
+            found |= {n: z.read(n) for n in z.namelist()}
+    assert len(found) == 199 and {found["1962/3.jpg"], found["1962/3 (2).jpg"]} == {b"pixels 3", b"pixels 193"}
+    first = {p.name: p.read_bytes() for p in (tmp_path / "zips").iterdir() if p.suffix == ".zip"}
+    files.zip_archives(rows.repartition(3), str(tmp_path / "zips"), 5)
+    assert first == {p.name: p.read_bytes() for p in (tmp_path / "zips").iterdir() if p.suffix == ".zip"}
