@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.values import cosine_distance
 from .aggregates import mean_vectors
-from .joins import nearest_owner
+from .graph import components
+from .joins import nearest, nearest_owner
 
 
 def average_linkage(vectors: np.ndarray, cut: float) -> np.ndarray:
@@ -44,6 +45,15 @@ def split_clusters(vectors: np.ndarray, cut: float, most: int = 300, factor: flo
     return label
 
 
+def blocks(df: DataFrame, id_col: str, vector: str, cut: float = 0.45, k: int = 10) -> DataFrame:
+    """df with `block`: components of the graph that links each vector with its k nearest within the cut. Average linkage merges
+    nothing across them, as two clusters that merge have a pair within the cut, as far as k neighbours tell."""
+    each = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    near = nearest(each, each, k + 1, cut).where("query_id <> ref_id").select(F.col("query_id").alias("a"), F.col("ref_id").alias("b"))
+    found = components(near).select(F.col("id").alias("__b"), F.col("group").alias("block"))
+    return df.join(found, df[id_col] == F.col("__b"), "left").withColumn("block", F.coalesce("block", id_col)).drop("__b")
+
+
 def clusters(df: DataFrame, block: str, id_col: str, vector: str, cut: float = 0.45, most: int = 300) -> DataFrame:
     """(id, cluster): cluster is its smallest id. Linkage is exact within a block, so blocks should be what cannot
     link across (an owner, a component of a coarser join) and of bounded size: a task holds one's distances."""

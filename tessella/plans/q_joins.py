@@ -1,6 +1,5 @@
 """Joins, aggregates and windows over orders, events, parts and lines."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, joins, windows
@@ -10,8 +9,8 @@ from .registry import query
 @query("join1_exact_or_alike", "with names as (select s_suppkey as id, lower(s_name) as token, substr(s_name, 1, 12) as key from supplier), terms as (select cast(row_number() over (order by s_suppkey) - 1 as int) as ix, lower(s_name) as term, substr(s_name, 1, 12) as key from supplier where s_suppkey in (3, 44, 71)), hits as (select ix, id, token, 100 as rank from names join terms on token = term union all select ix, id, token, 50 from names join terms using (key) where substr(token, 1, 4) = substr(term, 1, 4)) select ix, id, token, rank from (select *, row_number() over (partition by ix, id order by rank desc, token) as n from hits) where n = 1")
 def exact_or_alike(t):
     names = t.supplier.select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("token"), F.substring("s_name", 1, 12).alias("key"))
-    w = Window.orderBy("s_suppkey")
-    terms = t.supplier.where("s_suppkey in (3, 44, 71)").select((F.row_number().over(w) - 1).alias("ix"), F.lower("s_name").alias("term"), F.substring("s_name", 1, 12).alias("key"))
+    ix = F.when(F.col("s_suppkey") == 3, 0).when(F.col("s_suppkey") == 44, 1).otherwise(2)
+    terms = t.supplier.where("s_suppkey in (3, 44, 71)").select(ix.alias("ix"), F.lower("s_name").alias("term"), F.substring("s_name", 1, 12).alias("key"))
     return joins.exact_or_alike(terms, names)
 
 

@@ -263,7 +263,7 @@ def mean_distance(t):
 
 @query("set11_clusters")
 def clusters(t):
-    return cluster.clusters(t.embeddings, "label", "vec_id", "embedding")
+    return cluster.clusters(cluster.blocks(t.embeddings, "vec_id", "embedding"), "block", "vec_id", "embedding")
 
 
 @query("set13_prototypes")

@@ -67,11 +67,9 @@ def brute_pairs(t):
 
 @query("win9_cluster_order", "select l_suppkey, n, cast(row_number() over (order by case when n < 300 then 1 else 0 end, n desc, l_suppkey) as bigint) as place from (select l_suppkey, count(*) as n from lineitem group by 1)")
 def cluster_order(t):
-    from ..operators.cluster import ordered
-
     g = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    w = Window.orderBy(*ordered("n", 300), "l_suppkey")  # one row per supplier
-    return g.select("l_suppkey", "n", F.row_number().over(w).cast("long").alias("place"))
+    none = t.spark.createDataFrame([], "place long")
+    return merge.next_ids(g, none, "place", [F.col("n") < 300, -F.col("n"), F.col("l_suppkey")], 1).select("l_suppkey", "n", F.col("place").cast("long").alias("place"))
 
 
 @query("ops11_pairing_decisions", "select l_orderkey, status from (select o_orderkey as l_orderkey, case when o_orderstatus <> 'P' then o_orderstatus when o_orderkey % 2 = 0 then 'accepted' else 'rejected' end as status from orders)")
