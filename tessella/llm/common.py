@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,25 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder, stars
+
 #: Words are runs of anything but ASCII white space; bytes.split() splits at exactly these.
 WS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where
-    that is unset, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _fallback.setdefault("dir", tempfile.mkdtemp(prefix="tessella-"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -137,31 +126,6 @@ def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.Recor
         lo = hi
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b) as rows (node, root), root being the smallest node.
-
-    Alternates large-star and small-star steps, each written to the shared folder, until nothing changes.
-    """
-
-    def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = state(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = written(small.where(F.col("a") != F.col("b")).distinct(), name)
-        after = state(now)
-        if after == seen:
-            break
-        seen = after
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of edges (a, b) that reach a smaller one; root is the smallest."""
+    return stars(edges).toDF("node", "root")

@@ -52,10 +52,6 @@ def without_boilerplate(df: DataFrame, host: Column, text: str = "text", max_rat
     )
 
 
-def host_of(url: Column) -> Column:
-    return F.lower(F.parse_url(url, F.lit("HOST")))
-
-
 def report(df: DataFrame) -> DataFrame:
     """Documents by source: doc_id, text without boilerplate, n_lines, n_removed."""
     out = without_boilerplate(df.select("doc_id", "text", "source"), F.col("source"))

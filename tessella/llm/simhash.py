@@ -6,7 +6,7 @@ radius agrees on everything that table keeps: every such pair meets in some tabl
 
 Only distinct fingerprints are compared. Within a table's bucket no pairs are emitted: small buckets give a
 spanning forest of their links; in large ones every fingerprint is keyed by itself with one or two of the free bits
-cleared, and keys are shared by four fingerprints at most.
+cleared, and keys are shared by four fingerprints at most. For another radius than two, large buckets are compared block by block.
 
 A null or word-less text has fingerprint zero and is linked like any other. Repeated rows share a fingerprint.
 A component's id ignores null doc_ids (null if it has no other). Extra columns are ignored.
@@ -120,10 +120,10 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     few = met.where(F.col("count") <= SMALL).repartition("t", "key").sortWithinPartitions("t", "key")
     edges = few.select("t", "key", "fp", "count").mapInArrow(small, "a long, b long")
     many = met.where(F.col("count") > SMALL)
-    if radius != 2 or many.isEmpty():
-        if radius != 2 and not many.isEmpty():
-            raise ValueError("large buckets are handled for radius 2")
+    if many.isEmpty():
         return edges
+    if radius != 2:
+        return edges.unionByName(_between_blocks(many, radius))
     free = [[1 << b for b in range(64) if not m >> b & 1] for m in covering_masks(radius)]
     clears = F.array(*[F.array(*[F.lit(_signed(x | y)).cast("long") for x, y in combinations_with_replacement(bits, 2)]) for bits in free])
     keyed = many.select("fp", F.explode(F.get(clears, F.col("t"))).alias("clear")).select("fp", "clear", F.col("fp").bitwiseAND(F.bitwise_not("clear")).alias("rest"))
@@ -132,6 +132,20 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return edges.unionByName(star.select("a", "b"))
 
 
+def _between_blocks(many: DataFrame, radius: int) -> DataFrame:
+    """Edges in large buckets for any radius: a bucket's fingerprints in blocks, each compared with each."""
+    k = F.ceil(F.col("count") / SMALL).cast("int")
+    own = F.pmod(F.xxhash64("fp"), k).cast("int")
+    pairs = many.select("t", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
+    pairs = pairs.select("t", "key", "fp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def forest(table: pa.Table) -> pa.Table:
+        a, b = _forest(np.sort(table.column("fp").to_numpy()), radius)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return pairs.groupBy("t", "key", "x", "y").applyInArrow(forest, "a long, b long")
+
+
 def grouped(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
     """doc_id, fp, root and component_id of every row of df; components of links within the radius, equal in root."""
     docs = written(fingerprints(df, id_col, text), "fingerprints")

@@ -144,8 +144,8 @@ def test_covering_masks_meet():
             assert any(x & m == 0 for m in masks)
 
 
-@pytest.mark.parametrize("small", [1024, 4])
-def test_links_in_large_buckets(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,radius", [(1024, 2), (4, 2), (1024, 3), (4, 3), (4, 1)])
+def test_links_in_large_buckets(spark, monkeypatch, small, radius):
     import random
 
     rnd = random.Random(1)
@@ -159,7 +159,7 @@ def test_links_in_large_buckets(spark, monkeypatch, small):
     from tessella.llm.common import components
 
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    got = {r.node: r.root for r in components(simhash.links(df)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(df, radius)).collect()}
     mask = (1 << 64) - 1
     seen, groups = set(), []
     for f in fps:
@@ -167,7 +167,7 @@ def test_links_in_large_buckets(spark, monkeypatch, small):
             todo, g = [f], {f}
             while todo:
                 x = todo.pop()
-                new = {y for y in fps - g if (x ^ y).bit_count() <= 2}
+                new = {y for y in fps - g if (x ^ y).bit_count() <= radius}
                 g |= new
                 todo += new
             seen |= g
