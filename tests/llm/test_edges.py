@@ -59,3 +59,25 @@ def test_pipeline_on_odd_rows(spark, odd, empty):
     assert c.run(spark, empty).collect() == []
     # the prose is boilerplate of its source there, and what it leaves empty is one component
     assert [r.doc_id for r in c.run(spark, odd).collect()] == [1]
+
+
+CLASH = ("host", "template", "block", "salt", "digest", "h", "size", "shard", "pid", "n", "w", "iw", "item_key", "fp", "places", "start", "pos", "line", "k1", "total", "part", "failed", "pii", "root", "node", "bucket", "d")
+
+
+def test_columns_of_clashing_names(spark, odd):
+    from pyspark.sql import functions as F
+
+    from tessella.llm import decontaminate, lines, near, quality, warc, wrappers
+
+    more = {c: F.lit(1) for c in CLASH}
+    read = lambda t: spark.read.parquet(f"{odd}/{t}.parquet")
+    docs, pages, items = read("documents"), read("pages"), read("benchmark")
+    same = lambda a, b, cols: sorted(map(str, a.select(cols).collect())) == sorted(map(str, b.select(cols).collect()))
+    assert same(wrappers.extracted(pages), wrappers.extracted(pages.withColumns(more)), ["page_id", "text"])
+    assert same(warc.report(pages), warc.report(pages.withColumns(more)), ["page_id", "record_type", "refers_to"])
+    assert same(decontaminate.report(docs, items), decontaminate.report(docs.withColumns(more), items.withColumns(more)), ["doc_id", "item_id"])
+    for stage in (quality.passing, lambda d: lines.without_boilerplate(d, F.col("source")), near.representatives, lambda d: decontaminate.without_matches(d, items.withColumns(more))):
+        wide = docs.withColumns(more)
+        out = stage(wide)
+        assert out.columns[: len(wide.columns)] == wide.columns
+        assert same(stage(docs), out, docs.columns)
