@@ -40,7 +40,7 @@ LAST = (1 << 63) - 1 - NULLS
 #: Words of the runs inside a window of which the least hash is its anchor.
 ANCHOR = 5
 #: Text that a task hashes at once, that one merge bucket stands for, and that one part of the final pass holds.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000
 BUCKET_CHARS = 12_000_000
 PART_CHARS = 12_000_000
 BASE, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
