@@ -1,11 +1,12 @@
 """Text, names, dates, hashes and JSON over documents, parts, orders and events; the layered search."""
 
+import dataclasses
 import re
 
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, values
-from ..operators import joins
+from ..operators import graph, joins
 from ..session import spread
 from . import search
 from .registry import query
@@ -316,6 +317,12 @@ def ranked(t):
     return search.search(_sources(t), "worthless 1960-1961").select("row_id", "score")
 
 
+@query("fn6_stored_documents", _HITS)
+def stored_documents(t):
+    s = search.stored(_sources(t))
+    return search.search(dataclasses.replace(s, rows=graph.kept_table(s.rows, "documents")), "worthless 1960-1961").select("row_id", "score")
+
+
 _LABEL = "case doc_id % 3 when 0 then strftime(d, '%-d %B %Y') when 1 then strftime(d, '%B %Y') else cast(year(d) as varchar) end"
 
 

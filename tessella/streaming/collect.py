@@ -20,20 +20,27 @@ def results_stream(spark: SparkSession, folder: str, schema: str, files_per_batc
     return rows.where(~F.coalesce("summary", F.lit(False))).drop("summary")
 
 
+#: Targets are laid out by so many hashes of their keys, so that a batch reads again what has its own.
+KEY_BUCKETS = 256
+
+
 def apply_once(stream: DataFrame, keys: list[str], target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Appends to a Parquet target the rows whose keys it lacks. The checkpoint is the cursor; each batch writes its
-    own subfolder, so a batch that is run again overwrites what it wrote."""
+    own subfolder, so a batch that is run again overwrites what it wrote. Of the target only the key buckets that a batch has
+    rows of are read."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
+        fresh = batch.dropDuplicates(keys).withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int"))
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(target)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(path):
-            done = spark.read.option("basePath", target).schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in batch.schema)}, batch long").parquet(target).where(F.col("batch") != number)
+            some = [r[0] for r in fresh.select("key_bucket").distinct().collect()]
+            schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in batch.schema)}, batch long, key_bucket int"
+            done = spark.read.option("basePath", target).schema(schema).parquet(target).where((F.col("batch") != number) & F.col("key_bucket").isin(some))
             fresh = fresh.join(done.select(*keys).distinct(), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fresh.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{target}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
