@@ -65,8 +65,9 @@ def test_near_copies_go(spark):
     assert stage(spark, list(enumerate(texts))) == [(False, 0), (False, 2), (False, 4), (False, 5)]
 
 
-@pytest.mark.parametrize("edits", (2, 4, 6))
-def test_groups(spark, edits):
+@pytest.mark.parametrize("edits,block", [(2, 512), (4, 512), (6, 512), (6, 7)])
+def test_groups(spark, monkeypatch, edits, block):
+    monkeypatch.setattr(near, "BLOCK", block)
     rows = list(enumerate(variants(40, 150, edits) + variants(40, 40, 1, 2) + [None, "", " \n", "one", "ONE", "one two"]))
     assert stage(spark, rows) == kept(rows)
 
