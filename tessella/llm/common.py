@@ -51,13 +51,17 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
     """Join on a key of which right has one row each, and in `count` how many rows left has of it.
 
-    Keys with over a thousandth of the `total` rows number at most a thousand: they are broadcast. The others
-    have no hot key and are shuffled. Left should be a written table, as it is read twice.
+    Keys with over a thousandth of the `total` rows number at most a thousand: they are collected, and their rows meet a
+    broadcast. The others have no hot key and are shuffled. Left should be a written table, as it is read twice.
     """
     hot_at = max(total // 1000, 1)
     hot = F.broadcast(right.where(F.col(count) > hot_at))
     cold = right.where(F.col(count) <= hot_at)
-    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(cold, key, how))
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return left.join(cold, key, how)
+    among = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return left.where(among).join(hot, key).unionByName(left.where(~among).join(cold, key, how))
 
 
 class WordHasher:
