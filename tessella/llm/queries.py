@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import bpe, decontaminate, kneser_ney, lines, pii, quality, simhash, substring, warc, wrappers
+from . import alignment, audit, bpe, decontaminate, kneser_ney, lines, pii, prints, quality, simhash, substring, warc, wrappers
 from .common import written
 
 
@@ -42,6 +42,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": _on("documents", kneser_ney.report),
     "op9_quality": _on("documents", _quality),
     "op10_simhash": _on("documents", simhash.report),
+    "op11_alignment": _on("documents", alignment.report),
+    "op12_filter_audit": lambda spark, d: audit.report(_table(spark, d, "documents"), _table(spark, d, "labels")),
+    "op13_fingerprints": _on("documents", prints.report),
     "quality_ablations": _on("documents", lambda docs: quality.ablations(_ledger(docs))),
 }
 
@@ -85,6 +88,22 @@ put as (select w.doc_id, count(*) as n_words, count(c.p) as n_removed, coalesce(
 select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join put using (doc_id)""",
     "op9_quality": rf"""{_MEASURED}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed from f""",
+    "op12_filter_audit": rf"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {_WORDS} as w from documents),
+s as (select t, min(doc_id) as first from d group by 1),
+m as (select doc_id, part, cast((len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::int
++ 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as int) as mask from d join s using (t)),
+k as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+r as (select part, mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n from m left join k using (doc_id) group by all),
+f as (select unnest(range(5)) as i),
+o as (select a.i as a, b.i as b, c.i as c, d.i as d, e.i as e from f a, f b, f c, f d, f e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+p as (select [cast(1 << a as int), cast(1 << b as int), cast(1 << c as int), cast(1 << d as int), cast(1 << e as int)] as bits, substr('ABCDE', a + 1, 1) || substr('ABCDE', b + 1, 1) || substr('ABCDE', c + 1, 1) || substr('ABCDE', d + 1, 1) || substr('ABCDE', e + 1, 1) as filter_order from o),
+st as (select filter_order, cast(step as int) as step, bits[step] as bit, cast(coalesce(list_sum(bits[1:step - 1]), 0) as int) as before from p, (select unnest(range(1, 6)) as step)),
+x as (select part, bit, before, sum(n) filter (where mask & (bit | before) = 0) as kept, sum(n) filter (where mask & bit <> 0 and mask & before = 0) as removed, sum(n) filter (where mask & bit <> 0 and mask & before <> 0) as redundant,
+sum(n) filter (where mask = bit) as unique_fails, sum(n) filter (where good and mask & bit <> 0 and mask & before = 0) as good_lost, sum(n) filter (where toxic and mask & bit <> 0 and mask & before = 0) as toxic_lost from r, (select distinct bit, before from st) group by 1, 2, 3),
+h as (select part, bit, sum(removed) as shapley from x join st using (bit, before) group by 1, 2)
+select part, filter_order, step, {", ".join(f"cast(coalesce({c}, 0) as bigint) as {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"))}
+from st join x using (bit, before) join h using (part, bit)""",
     "quality_ablations": rf"""{_MEASURED},
 r8 as (select unnest(['too_few_words', 'repeated_windows', 'symbols_per_word', 'short_mean_word', 'long_mean_word', 'repeated_lines', 'shouting', 'few_letters']) as rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) as bit)
 select rule, count(*) filter (where failed & bit <> 0) as n_failed, count(*) filter (where failed = bit) as n_only_this, count(*) filter (where failed & ~bit = 0) as n_kept_without from f, r8 group by 1""",

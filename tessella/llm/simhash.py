@@ -89,11 +89,13 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[own], fps[root[own]]
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints `fp`, with the components of all links within the radius."""
-    masks = [_signed(m) for m in covering_masks(radius)]
-    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])).alias("x")
-    keys = distinct.select("fp", tables).select("fp", "x.t", "x.key")
+def links(distinct: DataFrame, radius: int = 2, tables: list[int] | None = None) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints `fp`, with the components of all links within the radius. tables: the bits
+    that each table keeps, such that all pairs within the radius agree in one; covering masks if not given."""
+    kept = tables or covering_masks(radius)
+    masks = [_signed(m) for m in kept]
+    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])).alias("x")
+    keys = distinct.select("fp", entries).select("fp", "x.t", "x.key")
     counted = written(keys.groupBy("t", "key").count().where("count > 1"), "buckets")
     met = written(keys.join(counted, ["t", "key"]), "met")
 
@@ -124,7 +126,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         return edges
     if radius != 2:
         return edges.unionByName(_between_blocks(many, radius))
-    free = [[1 << b for b in range(64) if not m >> b & 1] for m in covering_masks(radius)]
+    free = [[1 << b for b in range(64) if not m >> b & 1] for m in kept]
     clears = F.array(*[F.array(*[F.lit(_signed(x | y)).cast("long") for x, y in combinations_with_replacement(bits, 2)]) for bits in free])
     keyed = many.select("fp", F.explode(F.get(clears, F.col("t"))).alias("clear")).select("fp", "clear", F.col("fp").bitwiseAND(F.bitwise_not("clear")).alias("rest"))
     shared = keyed.groupBy("clear", "rest").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)

@@ -7,11 +7,12 @@ from tessella.llm.queries import QUERIES
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
 ITEMS = "item_id long, text string"
+LABELS = "doc_id long, quality int, toxic int"
 PROSE = "Every evening the lamplighter walked along the narrow canal and greeted each of the sleepy herons by name before he lit the last lantern near the old stone bridge where boats from distant harbours rested until morning while children counted stars above quiet roofs and somewhere a clock struck nine without any hurry at all"
 
 
-def tables(spark, folder, docs, pages, items):
-    for name, rows, schema in (("documents", docs, DOCS), ("pages", pages, PAGES), ("benchmark", items, ITEMS)):
+def tables(spark, folder, docs, pages, items, labels=()):
+    for name, rows, schema in (("documents", docs, DOCS), ("pages", pages, PAGES), ("benchmark", items, ITEMS), ("labels", list(labels), LABELS)):
         spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -27,7 +28,8 @@ def odd(spark, tmp_path_factory):
     docs += [(3, None, "en", "a", 0), (4, "", "en", "a", 0), (5, PROSE + " tail " * 60_000, "en", "a", 9), (6, "\n".join([PROSE] * 3), "en", None, 3)]
     pages = [(1, "http://x.example/a", "<p>a</p>"), (1, "http://x.example/a", "<p>a</p>"), (None, "http://x.example/b", "<p>a</p>"), (None, None, None), (2, None, "<p>" + "word " * 100_000), (3, "::", "")]
     items = [(1, PROSE), (1, PROSE), (None, "null id but words enough to be an item of its own"), (2, None), (3, "too short"), (4, "")]
-    return tables(spark, tmp_path_factory.mktemp("odd"), docs, pages, items)
+    labels = [(1, 1, 0), (1, 1, 0), (None, 1, 1), (2, None, None), (3, 0, 1)]
+    return tables(spark, tmp_path_factory.mktemp("odd"), docs, pages, items, labels)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -42,6 +44,9 @@ def test_odd_rows(spark, odd, name):
         assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (2, 1), (None, 1), (5, 1), (6, 1)}
     elif name == "quality_ablations":
         assert len(rows) == 8
+    elif name == "op12_filter_audit":
+        assert {(r.part, r.removed) for r in rows if r.filter_order == "EABCD" and r.step == 1} == {("a", 1), ("", 1)}  # of id 2, and of id 4 an empty text
+        assert len(rows) == 2 * 600
     else:
         assert len(rows) == (6 if name in ("op5_warc", "op7_html_text") else 10)
     if name == "op5_warc":
