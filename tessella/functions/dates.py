@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What people say of dates, and the month or decade that it stands for.
+#: What people say of dates, and the month or decade that it stands for; words of doubt in front of a date.
 MONTHS = "january february march april may june july august september october november december".split()
 SEASONS = {"spring": 4, "summer": 7, "autumn": 10, "fall": 10, "winter": 1}
+FEASTS = {"christmas": 12, "xmas": 12}
 DECADES = {"twenties": 1920, "thirties": 1930, "forties": 1940, "fifties": 1950, "sixties": 1960, "seventies": 1970, "eighties": 1980, "nineties": 1990}
-HEDGES = r"maybe|probably|possibly|approx\.?|approximately|about|around|circa|c\.|ca\.|abt\.?|sometime|some time|in|during|the|early|mid|late"
+HEDGES = "maybe probably possibly approx approximately about around circa ca abt sometime in during the early mid late".split()
 FIRST_YEAR, LAST_YEAR = 1800, 2100
 #: Years of two digits from here on are of the 20th century.
 CENTURY = 30
@@ -105,76 +106,75 @@ def date_fields(date: Column, precision: Column) -> Column:
     return F.struct(F.when(exact, date).alias("day"), F.when(precision != "decade", F.year(date)).alias("year"), label(date, precision).alias("text"))
 
 
-@dataclass(frozen=True)
-class Shape:
-    """A form of a date: a pattern with named groups y, m and d. m may also be a word of `words`; what has no group is `month`
-    and the first day. Short years count from CENTURY."""
-
-    pattern: str
-    precision: str
-    words: tuple[tuple[str, int], ...] = ()
-    month: int = 1
-
+# A date in free text is read in two steps. Its tokens, runs of digits, runs of letters and single signs, become a string of
+# kinds, a letter each, and what means nothing between others is taken out of it; what is left must be one of READINGS.
 
-_MONTH_WORDS = tuple((w, i) for i, name in enumerate(MONTHS, 1) for w in (name, name[:3], *(("sept",) if name == "september" else ())))
+_TOKEN = "[0-9]+|[a-z]+|[^0-9a-z \\t\\n\\r\\f\\x0B]"
 
+#: Kind and value of each known word: Month, Season, feast (X) and Decade have a value; of, ordinal endings, the plural s,
+#: words of doubt (h; c needs its full stop; "some time" is p and q) have none. Numbers are i (one digit), n (two), y (four) or z.
+LEXICON: dict[str, tuple[str, int | None]] = {
+    **{w: ("M", i) for i, name in enumerate(MONTHS, 1) for w in (name, name[:3])},
+    **{"sept": ("M", 9), "of": ("f", None), "s": ("s", None), "c": ("c", None), "some": ("p", None), "time": ("q", None)},
+    **{w: (kind, v) for kind, words in (("S", SEASONS), ("X", FEASTS), ("D", DECADES)) for w, v in words.items()},
+    **{w: ("h", None) for w in HEDGES},
+    **{w: ("o", None) for w in ("st", "nd", "rd", "th")},
+}
+_SIGNS = {"/": "/", "-": "-", ".": ".", ",": ",", "'": "'", "’": "'", "?": "!", "!": "!"}
 
-def _any_of(words: tuple[tuple[str, int], ...]) -> str:
-    return "|".join(w for w, _ in words)
+#: Taken out, or made alike, in this order.
+_NOISE = (
+    (r"^(?:h\.?|c\.|pq)+", ""),
+    (r"!+$", ""),
+    (r"'(?=s)", ""),
+    (r"i(?!s)", "n"),
+    (r"(?<=n)o", ""),
+    (r"(?<=M)\.", ""),
+    (r"(?<=[MSXn])f(?=[nyM])", ""),
+    (r"(?<=[Mn]),(?=y)", ""),
+)
 
+#: What the values of a string of kinds are, in order: year, month and day.
+READINGS = {"y": "y", "ys": "y", "ns": "y", "D": "y", "My": "my", "Sy": "my", "Xy": "my", "y-n": "ym", "n/y": "my", "n-y": "my", "Mny": "mdy", "nMy": "dmy", "y-n-n": "ymd", "n/n/y": "mdy", "n.n.y": "mdy"}
 
-_NAMED, _SEASON = _any_of(_MONTH_WORDS), _any_of(tuple(SEASONS.items()))
-SHAPES = (
-    Shape(rf"(?<y>{'|'.join(DECADES)})", "decade"),
-    Shape(r"(?<y>[0-9]{2}|[0-9]{4})\s*['’]?s", "decade"),
-    Shape(r"(?<y>[0-9]{4})-(?<m>[0-9]{1,2})", "month"),
-    Shape(r"(?<y>[0-9]{4})-(?<m>[0-9]{1,2})-(?<d>[0-9]{1,2})", "exact"),
-    Shape(r"(?<m>[0-9]{1,2})[/.](?<d>[0-9]{1,2})[/.](?<y>[0-9]{4})", "exact"),
-    Shape(r"(?<m>[0-9]{1,2})[/-](?<y>[0-9]{4})", "month"),
-    Shape(rf"(?<m>{_SEASON})\s+(?:of\s+)?(?<y>[0-9]{{4}})", "year", tuple(SEASONS.items())),
-    Shape(r"(?:christmas|xmas)\s+(?:of\s+)?(?<y>[0-9]{4})", "month", month=12),
-    Shape(rf"(?<m>{_NAMED})\.?\s+(?:of\s+)?(?<y>[0-9]{{4}})", "month", _MONTH_WORDS),
-    Shape(rf"(?<m>{_NAMED})\.?\s+(?:of\s+)?(?<d>[0-9]{{1,2}})(?:st|nd|rd|th)?[,\s]+(?<y>[0-9]{{4}})", "exact", _MONTH_WORDS),
-    Shape(rf"(?<d>[0-9]{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?(?<m>{_NAMED})\.?,?\s+(?<y>[0-9]{{4}})", "exact", _MONTH_WORDS),
-    Shape(r"(?<y>[0-9]{4})", "year"),
-)
 
-
-def _groups(pattern: str) -> dict[str, int]:
-    """Numbers of the named groups."""
-    found = re.findall(r"\((?!\?)|\(\?<([ymd])>", pattern)
-    return {name: i for i, name in enumerate(found, 1) if name}
+def _precision(core: str) -> str:
+    return "decade" if core[-1] in "sD" else "year" if core[0] == "S" else ("year", "month", "exact")[len(READINGS[core]) - 1]
 
 
 def free_date(x: Column) -> Column:
-    """Free text ("March 1962", "the sixties", "12th of March, 1962", "around 1962?") to struct(date, precision); null if it is
-    none of SHAPES or no day of the calendar. A decade is dated to its start, a season to a month in its middle."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")), "[?!]+$", ""), rf"^(?:(?:{HEDGES})\s*)+", ""))
-    # a lambda's variable: the text is worked out once, not again for each group of each shape
-    return F.get(F.transform(F.array(bare), _first_shape), F.lit(0))
-
-
-def _first_shape(t: Column) -> Column:
-    out = F.lit(None).cast("struct<date:date,precision:string>")
-    for s in reversed(SHAPES):
-        groups = _groups(s.pattern)
-
-        def number(name: str, words: dict[str, int], default: int, groups: dict[str, int] = groups, s: Shape = s) -> Column:
-            if name not in groups:
-                return F.lit(default)
-            g = F.regexp_extract(t, f"^{s.pattern}$", groups[name])
-            if not words:
-                return F.try_to_number(g, F.lit("9999")).cast("int")
-            return F.create_map(*[F.lit(v) for pair in words.items() for v in pair])[g]
-
-        y = number("y", DECADES if "twenties" in s.pattern else {}, 0)
-        y = y + F.when(y < CENTURY, 2000).when(y < 100, 1900).otherwise(0)
-        first = (F.floor(y / 10) * 10).cast("int") if s.precision == "decade" else y
+    """Free text ("March 1962", "the sixties", "12th of March, 1962", "around 1962?") to struct(date, precision); null if it has
+    none of READINGS or is no day of the calendar. A decade is dated to its start, a season to a month in its middle."""
+    table = lambda pairs: F.create_map(*[F.lit(v) for pair in pairs for v in pair])
+    kinds, worth = table((w, k) for w, (k, _) in LEXICON.items()), table((w, v) for w, (_, v) in LEXICON.items() if v)
+    signs, by_length = table(_SIGNS.items()), table([(1, "i"), (2, "n"), (4, "y")])
+
+    def kind(w: Column) -> Column:
+        return F.coalesce(kinds[w], signs[w], F.when(w.rlike("^[0-9]"), F.coalesce(by_length[F.length(w)], F.lit("z"))), F.lit("_"))
+
+    def value(w: Column) -> Column:
+        return F.coalesce(worth[w], F.when(w.rlike("^[0-9]{1,4}$"), w.try_cast("int")))
+
+    def core(tokens: Column) -> Column:
+        out = F.array_join(F.transform(tokens, kind), "")
+        for pattern, to in _NOISE:
+            out = F.regexp_replace(out, pattern, to)
+        return out
+
+    def read(t: Column) -> Column:
+        roles = table(READINGS.items())[t["core"]]
+        part = lambda role: F.get(t["values"], F.instr(roles, role) - 1)
+        precision = table((c, _precision(c)) for c in READINGS)[t["core"]]
+        y = part("y") + F.when(part("y") < CENTURY, 2000).when(part("y") < 100, 1900).otherwise(0)
+        first = F.when(precision == "decade", (F.floor(y / 10) * 10).cast("int")).otherwise(y)
         # a string, as a day that doesn't exist is an error for make_date
-        date = F.try_to_date(F.format_string("%04d-%02d-%02d", first, number("m", dict(s.words), s.month), number("d", {}, 1)), "yyyy-MM-dd")
-        found = F.when(y.between(FIRST_YEAR, LAST_YEAR) & date.isNotNull(), F.struct(date.alias("date"), F.lit(s.precision).alias("precision")))
-        out = F.when(t.rlike(f"^{s.pattern}$"), found).otherwise(out)
-    return out
+        date = F.try_to_date(F.format_string("%04d-%02d-%02d", first, F.coalesce(part("m"), F.lit(1)), F.coalesce(part("d"), F.lit(1))), "yyyy-MM-dd")
+        return F.when(y.between(FIRST_YEAR, LAST_YEAR) & date.isNotNull(), F.struct(date.alias("date"), precision.alias("precision")))
+
+    # variables of lambdas: what they hold is worked out once, not again for each use
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(x), F.lit(_TOKEN), F.lit(0))
+    return once(once(tokens, lambda t: F.struct(core(t).alias("core"), F.array_compact(F.transform(t, value)).alias("values"))), read)
 
 
 @dataclass(frozen=True)
@@ -183,21 +183,32 @@ class Parsed:
     precision: str
 
 
+def lexed(text: str, more: dict[str, str] | None = None) -> tuple[str, list[int]]:
+    """The kinds of a text's tokens, without noise, and the values of those that have one. more: kinds of further words."""
+    kinds, values = "", []
+    for w in re.findall(_TOKEN, text.lower()):
+        kind, value = LEXICON.get(w) or (_SIGNS.get(w, "_"), None)
+        if w.isdigit() and w.isascii():
+            kind, value = {1: "i", 2: "n", 4: "y"}.get(len(w), "z"), int(w) if len(w) <= 4 else None
+        kinds += (more or {}).get(w, kind)
+        values += [value] if value is not None else []
+    for pattern, to in _NOISE:
+        kinds = re.sub(pattern, to, kinds)
+    return kinds, values
+
+
 def parse_free(text: str | None) -> Parsed | None:
-    """free_date for what is typed into a query, by the same shapes."""
-    t = re.sub(rf"^(?:(?:{HEDGES})\s*)+", "", re.sub("[?!]+$", "", (text or "").strip().lower())).strip()
-    for s in SHAPES:
-        if m := re.fullmatch(s.pattern.replace("(?<", "(?P<"), t):
-            g = m.groupdict()
-            y = DECADES[g["y"]] if g["y"] in DECADES else int(g["y"])
-            y = y + (2000 if y < CENTURY else 1900 if y < 100 else 0)
-            month = dict(s.words).get(g.get("m") or "") or int(g.get("m") or s.month)
-            try:
-                found = dt.date(y // 10 * 10 if s.precision == "decade" else y, month, int(g.get("d") or 1))
-            except ValueError:
-                return None
-            return Parsed(found, s.precision) if FIRST_YEAR <= y <= LAST_YEAR else None
-    return None
+    """free_date for what is typed into a query, by the same tables."""
+    core, values = lexed(text or "")
+    if core not in READINGS:
+        return None
+    said, precision = dict(zip(READINGS[core], values)), _precision(core)
+    y = said["y"] + (2000 if said["y"] < CENTURY else 1900 if said["y"] < 100 else 0)
+    try:
+        found = dt.date(y - y % 10 if precision == "decade" else y, said.get("m", 1), said.get("d", 1))
+    except ValueError:
+        return None
+    return Parsed(found, precision) if FIRST_YEAR <= y <= LAST_YEAR else None
 
 
 @dataclass(frozen=True)

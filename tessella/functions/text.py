@@ -19,6 +19,11 @@ def unaccent(x: Column) -> Column:
     return F.translate(x, MARKED + MARKED.upper().replace("ß", ""), PLAIN + PLAIN.upper())
 
 
+def unaccented(x: str) -> str:
+    """unaccent for what is typed into a query."""
+    return x.translate(str.maketrans(MARKED + MARKED.upper().replace("ß", ""), PLAIN + PLAIN.upper()))
+
+
 def search_token(x: Column) -> Column:
     """Lower case without marks, anything but letters, digits and apostrophes one space; null if empty."""
     folded = F.trim(F.regexp_replace(unaccent(F.lower(x)), "[^a-z0-9']+", " "))
@@ -159,6 +164,13 @@ def stem(x: Column) -> Column:
     return x
 
 
+def stemmed(word: str) -> str:
+    """stem for a word of a query."""
+    for pattern, to in _RULES:
+        word = re.sub(pattern, to, word)
+    return word
+
+
 def lexemes(x: Column) -> Column:
     """Stems of a text's words without stop words, in order."""
     words = F.filter(F.split(F.lower(unaccent(x)), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
