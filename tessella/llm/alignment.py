@@ -5,9 +5,9 @@ tokenizer are counted on it once; where both counts are positive, both cut, and
 Running sums of the counts, read at the documents' ends, give each document its own figures. No document reaches into the
 next, since both tokenizers end at a text's end.
 
-A is a byte-level BPE file of the `tokenizers` library, B a `sentencepiece` model; the text gets a space in front. Both
-encode by segments that end before a space after something visible: A's pattern always cuts there, and no piece of B has
-a space inside (of other models whole texts are encoded). What segments become is remembered in a bounded table.
+A is a byte-level BPE file of the `tokenizers` library, B a `sentencepiece` model; the text gets a space in front. Where A's
+file is plain byte-level BPE whose ids are the order of its merges, `tiktoken` encodes by the file's vocabulary, with the same ids
+in a third of the time (tested over all code points); it can't take very long runs of white space, which are left to `tokenizers`.
 
 A pair of ids is linked once for each place where an A and a B token end together. Of two tokens that end together one
 is the other's ending, so a vocabulary pair has at most as many linked pairs as its tokens have bytes: half a million
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -33,19 +34,14 @@ from pyspark.sql import functions as F
 from .bpe import byte_characters
 from .common import packed, portions, unpacked, written
 
-#: Segments whose ids a worker remembers, and the longest remembered; neither changes a result.
-ROOM, LONGEST = 400_000, 64
-
 #: Bytes of text laid on one axis.
 PORTION = 4 << 20
 
-#: Between something visible and a space that isn't the last character (B makes nothing of a lone one). Python counts at
-#: least as much as white space as either tokenizer does.
-CUT = re.compile(r"(?<=\S)(?= [\s\S])")
+_LONG_BLANK = re.compile(r"\s{200}")
 
 
 class Codec:
-    """Both tokenizers in a worker. Ids travel as little-endian 32-bit integers."""
+    """Both tokenizers in a worker."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,53 +52,40 @@ class Codec:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         of_char = {c: b for b, c in enumerate(byte_characters())}
-        names = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(of_char[c] for c in t) for t in names]
+        self.a_bytes = [bytes(of_char[c] for c in self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         if len(self.a_bytes) * len(self.b_bytes) > 1 << 40:
             raise ValueError("a pair of ids must fit 40 bits")
-        self.by_segment = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known_a: dict[str, bytes] = {}
-        self.known_b: dict[str, bytes] = {}
-        self.lossy: set[str] = set()
+        with open(a_path, encoding="utf-8") as f:
+            self.fast = self._by_rank(json.load(f))
         end = lambda x, sign: [b"%d%s" % (i, sign) for i in range(len(x))]
         self.spelled = end(self.a_bytes, b",") + end(self.a_bytes, b"|") + end(self.b_bytes, b",") + end(self.b_bytes, b";")
 
-    def _ids(self, segments: list[str]) -> Iterator[tuple[str, bytes, bytes]]:
-        a = self.a.encode_batch(segments, add_special_tokens=False)
-        b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        for s, x, y in zip(segments, a, b):
-            yield s, np.array(x.ids, "<i4").tobytes(), np.array(y, "<i4").tobytes()
-
-    def _gives_back(self, text: bytes, a: bytes, b: bytes) -> bool:
-        join = lambda x, table: b"".join(map(table.__getitem__, np.frombuffer(x, "<i4").tolist()))
-        return join(a, self.a_bytes) == text == join(b, self.b_bytes)
-
-    def learn(self, texts: list[str]) -> None:
-        """Remembers the segments of texts, as far as there is room."""
-        new = {s for t in texts for s in CUT.split(t) if s not in self.known_a and len(s) <= LONGEST} if self.by_segment else set()
-        if len(self.known_a) + len(new) > ROOM:
-            for x in (self.known_a, self.known_b, self.lossy):
-                x.clear()
-        for s, a, b in self._ids(sorted(new)[:ROOM]):
-            self.known_a[s], self.known_b[s] = a, b
-            if not self._gives_back(s.encode(), a, b):
-                self.lossy.add(s)
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
+    def _by_rank(self, file: dict):
+        """A tiktoken encoding with the ids of A's file; None if they aren't the order of its merges, or it does more than merge."""
+        import public_tokenizers
+        import tiktoken
+
+        model, first = file["model"], file.get("pre_tokenizer") or {}
+        plain = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not file.get("normalizer")
+        if not plain or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix"):
+            return None
+        ids, merged = model["vocab"], ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        rank = [ids[m] for m in merged]
+        if rank != sorted(rank) or len(merged) + 256 != len(ids) or rank[0] < 256:
+            return None
+        ranks = {self.a_bytes[i]: i for i in ids.values()}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of a text with its space in front, of both; empty if either doesn't give the text back."""
-        segments = CUT.split(text) if self.by_segment else [text]
-        try:
-            a, b = b"".join(map(self.known_a.__getitem__, segments)), b"".join(map(self.known_b.__getitem__, segments))
-            exact = not self.lossy or self.lossy.isdisjoint(segments)
-        except KeyError:
-            new = dict.fromkeys(s for s in segments if s not in self.known_a)
-            more = {s: (x, y) for s, x, y in self._ids(list(new))}
-            a, b = (b"".join(more[s][k] if s in more else known[s] for s in segments) for k, known in enumerate((self.known_a, self.known_b)))
-            exact = False
-        return (a, b) if exact or self._gives_back(text.encode(), a, b) else (b"", b"")
+        quick = self.fast and not _LONG_BLANK.search(text)
+        a = self.fast.encode_ordinary(text) if quick else self.a.encode(text, add_special_tokens=False).ids
+        b, data = self.b.encode(text[1:]), text.encode()
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
+        return (a, b) if same else ([], [])
 
 
 @functools.lru_cache(maxsize=2)
@@ -113,9 +96,9 @@ def _codec(a_path: str, b_path: str) -> Codec:
 class Axis:
     """The tokens of several documents on one axis of bytes."""
 
-    def __init__(self, codec: Codec, encoded: list[tuple[bytes, bytes]]):
-        self.a, self.b = (np.frombuffer(b"".join(x[k] for x in encoded), "<i4") for k in (0, 1))
-        at = lambda k: np.cumsum([0, *(len(x[k]) // 4 for x in encoded)])
+    def __init__(self, codec: Codec, encoded: list[tuple[list[int], list[int]]]):
+        self.a, self.b = (np.concatenate([np.empty(0, np.int32), *(np.array(x[k], np.int32) for x in encoded)]) for k in (0, 1))
+        at = lambda k: np.cumsum([0, *(len(x[k]) for x in encoded)])
         self.a_at, self.b_at = at(0), at(1)
         a_end, b_end = np.cumsum(codec.a_len[self.a]), np.cumsum(codec.b_len[self.b])
         size = int(a_end[-1]) + 1 if len(a_end) else 1
@@ -170,8 +153,7 @@ def aligned(df: DataFrame, id_col: str = "doc_id", text: str = "text", a_path: s
         for batch in batches:
             for part in portions(batch, 1, PORTION):
                 texts = [f" {t}" if t else "" for t in part.column(1).to_pylist()]
-                codec.learn(texts)
-                axis = Axis(codec, [codec.encode(t) if t else (b"", b"") for t in texts])
+                axis = Axis(codec, [codec.encode(t) if t else ([], []) for t in texts])
                 out = [part.column(0), *(pa.array(x, pa.int64()) for x in (np.diff(axis.a_at), np.diff(axis.b_at), axis.n_groups, axis.n_links)), pa.array(axis.spelled(codec), pa.string())]
                 if keep_groups:
                     out.append(axis.groups())
