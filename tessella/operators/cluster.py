@@ -1,4 +1,4 @@
-"""Clusters of vectors: average linkage within blocks, prototypes per owner, centroids, likely owners."""
+"""Clusters of vectors: average linkage in rounds, prototypes per owner, centroids, likely owners."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import cosine_distance
+from ..functions.values import cosine_distance, norm
 from .aggregates import mean_vectors
-from .graph import components
-from .joins import nearest, nearest_owner
+from .graph import components, kept_table
+from .joins import nearest_owner
+from .vectors import Index
 
 
 def average_linkage(vectors: np.ndarray, cut: float) -> np.ndarray:
@@ -45,27 +46,124 @@ def split_clusters(vectors: np.ndarray, cut: float, most: int = 300, factor: flo
     return label
 
 
-def blocks(df: DataFrame, id_col: str, vector: str, cut: float = 0.45, k: int = 10) -> DataFrame:
-    """df with `block`: components of the graph that links each vector with its k nearest within the cut. Average linkage merges
-    nothing across them, as two clusters that merge have a pair within the cut, as far as k neighbours tell."""
-    each = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
-    near = nearest(each, each, k + 1, cut).where("query_id <> ref_id").select(F.col("query_id").alias("a"), F.col("ref_id").alias("b"))
-    found = components(near).select(F.col("id").alias("__b"), F.col("group").alias("block"))
-    return df.join(found, df[id_col] == F.col("__b"), "left").withColumn("block", F.coalesce("block", id_col)).drop("__b")
-
-
-def clusters(df: DataFrame, block: str, id_col: str, vector: str, cut: float = 0.45, most: int = 300) -> DataFrame:
-    """(id, cluster): cluster is its smallest id. Linkage is exact within a block, so blocks should be what cannot
-    link across (an owner, a component of a coarser join) and of bounded size: a task holds one's distances."""
+#: Components of at most so many vectors are clustered in one task; larger ones in rounds, with the same result.
+IN_ONE_TASK = 2_000
+
+
+def _spread_labels(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of the graph between the rows and the columns of a matrix: a label of each row and column, -1 without a neighbour."""
+    rows, columns = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    for start in np.flatnonzero(near.any(axis=1)):
+        if rows[start] < 0:
+            rows[start], new = start, np.array([start])
+            while len(new):
+                to = np.flatnonzero(near[new].any(axis=0) & (columns < 0))
+                columns[to] = start
+                new = np.flatnonzero(near[:, to].any(axis=1) & (rows < 0)) if len(to) else to
+                rows[new] = start
+    return rows, columns
+
+
+def linked(index: Index, cut: float) -> DataFrame:
+    """(a, b): edges with the components of all pairs within the cut. Two vectors met in a task are linked by a forest, not by pairs."""
+
+    def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        a, b = q["query"].to_numpy(), v["key"].to_numpy()
+        rows, columns = _spread_labels((1 - np.stack(q["u"].to_numpy()) @ np.stack(v["u"].to_numpy()).T <= cut) & (a[:, None] != b[None, :]))
+        ids, label = np.concatenate([a, b]), np.concatenate([rows, columns])
+        own = np.flatnonzero(label >= 0)
+        return pd.DataFrame({"a": a[label[own]], "b": ids[own]}).query("a != b").drop_duplicates()
+
+    return index.all_within(cut, pair, "a long, b long").distinct()
+
+
+def linkage_in_rounds(members: DataFrame, cut: float, rounds: int = 500) -> DataFrame:
+    """(id, cluster) of (id, u, group): average linkage of unit vectors within groups, merging while the least distance is at most
+    the cut; a cluster is named by its smallest id.
+
+    The mean cosine distance between two clusters is 1 - the product of their mean vectors, so that a cluster is its sum and size. In
+    each round every cluster looks for its nearest, and those that are each other's nearest merge. With average
+    linkage a merged cluster is no nearer to others than its parts were, so this comes to the same clusters as merging one pair at a
+    time, and only clusters that merged, or whose nearest did, look again. Ties go to the pair of smaller ids."""
+    carry = ("length", "group", "n")
+    state = kept_table(members.select("id", "group", F.col("u").alias("sum"), F.lit(1).cast("long").alias("n")), "linkage")
+    belongs = kept_table(members.select("id", F.col("id").alias("cluster")), "belongs")
+    nearest_of: DataFrame | None = None
+    mean = F.transform("sum", lambda x: x / F.col("n"))
+
+    def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(v):
+            v = v.sort_values("key")
+            scaled = lambda x: np.stack(x["u"].to_numpy()) * x["length"].to_numpy()[:, None]
+            d = np.round(1 - scaled(q) @ scaled(v).T, 12)
+            a, b = q["query"].to_numpy(), v["key"].to_numpy()
+            d[(a[:, None] == b[None, :]) | (q["group"].to_numpy()[:, None] != v["group"].to_numpy()[None, :]) | (d > cut)] = np.inf
+            for i, x in enumerate(a):
+                ties = b[np.flatnonzero((d[i] == d[i].min()) & np.isfinite(d[i]))]
+                if len(ties):
+                    out.append((x, min(ties, key=lambda y: (min(x, y), max(x, y))), d[i].min()))
+        return pd.DataFrame(out, columns=["a", "b", "distance"])
+
+    changed: DataFrame | None = None
+    for _ in range(rounds):
+        vectors = state.select(F.col("id").alias("key"), "group", "n", mean.alias("vector")).withColumn("length", norm(F.col("vector")))
+        index = Index.build(vectors, carry=carry)
+        found = index.all_within(cut, pair, "a long, b long, distance double", carry, changed)
+        best = found.groupBy("a").agg(F.min_by("b", F.struct("distance", F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
+        if nearest_of is not None and changed is not None:
+            best = best.unionByName(nearest_of.join(changed.withColumnRenamed("key", "a"), "a", "left_anti"))
+        best = kept_table(best, "nearest")
+        back = best.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        merges = kept_table(best.join(back, (F.col("a") == F.col("y")) & (F.col("b") == F.col("x"))).where("a < b").select(F.col("a").alias("into"), F.col("b").alias("gone")), "merges")
+        if merges.isEmpty():
+            return belongs
+        into = F.coalesce("into", "id")
+        moved = state.join(merges, F.col("id") == F.col("gone"), "left").select(into.alias("id"), "group", "sum", "n")
+        both = moved.groupBy("id").agg(F.first("group").alias("group"), F.collect_list("sum").alias("s"), F.sum("n").alias("n"))  # two at most
+        total = F.when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise(F.zip_with(F.get("s", F.lit(0)), F.get("s", F.lit(1)), lambda x, y: x + y))
+        state = kept_table(both.select("id", "group", total.alias("sum"), "n"), "linkage")
+        belongs = kept_table(belongs.join(merges, F.col("cluster") == F.col("gone"), "left").select("id", F.coalesce("into", "cluster").alias("cluster")), "belongs")
+        touched = merges.select(F.col("into").alias("t")).unionByName(merges.select(F.col("gone").alias("t")))
+        gone = merges.select(F.col("gone").alias("a"))
+        nearest_of = best.join(gone, "a", "left_anti")
+        changed = kept_table(nearest_of.join(touched, F.col("b") == F.col("t"), "left_semi").select(F.col("a").alias("key")).unionByName(merges.select(F.col("into").alias("key"))).distinct(), "changed")
+    raise RuntimeError(f"linkage did not settle in {rounds} rounds")
+
+
+def clusters(df: DataFrame, id_col: str, vector: str, cut: float = 0.45, most: int = 300, factor: float = 0.8, depth: int = 5, in_one_task: int | None = None) -> DataFrame:
+    """(id, cluster) of all rows with a vector: average linkage by cosine distance up to the cut; clusters of over `most` members are
+    cut again at `factor` of it, and so on. Nothing merges across components of the pairs within the cut, as two clusters that
+    merge have such a pair; small components are clustered in one task each, large ones in rounds."""
+    limit = IN_ONE_TASK if in_one_task is None else in_one_task
+    index = Index.build(df.select(F.col(id_col).cast("long").alias("key"), F.col(vector).alias("vector")))
+    found = components(kept_table(linked(index, cut), "linked"))
+    each = index.vectors.select(F.col("key").alias("id"), "u").join(found, "id")
+    alone = index.all_keys.select(F.col("key").alias("id")).join(found, "id", "left_anti").select("id", F.col("id").alias("cluster"))
+    each = kept_table(each, "members")
+    sizes = kept_table(each.groupBy("group").agg(F.count("*").alias("members")), "components")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        ids = pdf[id_col].to_numpy()
-        label = split_clusters(np.stack(pdf[vector].to_numpy()).astype(float), cut, most)
-        least = pd.Series(ids).groupby(label).transform("min")
-        return pd.DataFrame({"id": ids, "cluster": least.to_numpy()})
-
-    return df.select(block, id_col, vector).groupBy(block).applyInPandas(one, "id long, cluster long")
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy()
+        label = split_clusters(np.stack(pdf["u"].to_numpy()).astype(float), cut, most, factor, depth)
+        return pd.DataFrame({"id": ids, "cluster": pd.Series(ids).groupby(label).transform("min").to_numpy()})
+
+    small = each.join(sizes.where(F.col("members") <= limit), "group", "left_semi")
+    out = alone.unionByName(small.groupBy("group").applyInPandas(one, "id long, cluster long"))
+    large = each.join(sizes.where(F.col("members") > limit), "group", "left_semi").select("id", "u", "group")
+    now, level = cut, 0
+    while not large.isEmpty():
+        large = kept_table(large, "large")
+        own = linkage_in_rounds(large, now)
+        counts = own.groupBy("cluster").agg(F.count("*").alias("members"))
+        over = counts.where((F.col("members") > most) & F.lit(level < depth)).select("cluster")
+        out = out.unionByName(own.join(over, "cluster", "left_anti").select("id", "cluster"))
+        large = large.drop("group").join(own.join(over, "cluster", "left_semi").select("id", F.col("cluster").alias("group")), "id")
+        now, level = now * factor, level + 1
+    return out
 
 
 def prototypes(df: DataFrame, owner: str, id_col: str, vector: str, most: int = 5, rounds: int = 20) -> DataFrame:

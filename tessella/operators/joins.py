@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import looks_alike
-from ..functions.values import cosine_distance, overlap_area
+from ..functions.values import overlap_area
+from . import vectors
 
 #: A side is broadcast if it is at most this many rows; beyond that the equi-join is shuffled.
 BROADCAST_ROWS = 50_000
@@ -81,33 +82,19 @@ def by_year(rows: DataFrame, lo: str, hi: str, spans: DataFrame, q_lo: str = "q_
     return hit.where(F.col("__y") == F.greatest(F.year(lo), F.year(q_lo))).drop("__y")
 
 
-def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, most: float | None = None) -> DataFrame:
-    """(query_id, ref_id, distance, rank): cosine top-k of every query among refs (id, vector), ids breaking ties.
-    Queries go in blocks; refs are scanned once a block, and each task keeps its own k per query before a shuffle."""
-    w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
+def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, most: float | None = None, probes: int | None = None) -> DataFrame:
+    """(query_id, ref_id, distance, rank): cosine top-k of every query among refs (id, vector), ids breaking ties. Exact; with `probes`
+    only so many cells of the index are looked into."""
+    index = vectors.Index.build(refs.select(F.col("id").alias("key"), "vector"))
+    found = index.nearest(queries.select(F.col("id").alias("query"), "vector"), k, probes or vectors.PROBES, probes is None, most)
+    return found.select(F.col("query").alias("query_id"), F.col("key").alias("ref_id"), "distance", "rank")
 
-    def block(q: DataFrame) -> DataFrame:
-        d = refs.join(q).select("query_id", F.col("id").alias("ref_id"), cosine_distance(F.col("__q"), F.col("vector")).alias("distance"))
-        if most is not None:
-            d = d.where(F.col("distance") <= most)
-        return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    return in_blocks(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("__q")), "query_id", block, 2_000)
-
-
-def nearest_owner(queries: DataFrame, prototypes: DataFrame, k: int = 1, most: float | None = None) -> DataFrame:
-    """(query_id, owner, distance, rank) over prototypes (owner, vector): an owner's distance is that of its nearest. Prototypes
-    go in blocks, of which the least distances are kept."""
-
-    def block(p: DataFrame) -> DataFrame:
-        return queries.join(p).groupBy(F.col("id").alias("query_id"), "owner").agg(F.min(cosine_distance(F.col("vector"), F.col("__p"))).alias("distance"))
-
-    d = in_blocks(prototypes.select("owner", F.col("vector").alias("__p")), "__p", block)
-    d = d.groupBy("query_id", "owner").agg(F.min("distance").alias("distance"))
-    if most is not None:
-        d = d.where(F.col("distance") <= most)
-    w = Window.partitionBy("query_id").orderBy("distance", "owner")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def nearest_owner(queries: DataFrame, prototypes: DataFrame, k: int = 1, most: float | None = None, probes: int | None = None) -> DataFrame:
+    """(query_id, owner, distance, rank) over prototypes (owner, vector): an owner's distance is that of its nearest."""
+    index = vectors.Index.build(prototypes.select(F.col("owner").alias("key"), "vector"))
+    found = index.nearest(queries.select(F.col("id").alias("query"), "vector"), k, probes or vectors.PROBES, probes is None, most)
+    return found.select(F.col("query").alias("query_id"), F.col("key").alias("owner"), "distance", "rank")
 
 
 def nearest_hash(queries: DataFrame, refs: DataFrame, distance: Column, most: int) -> DataFrame:

@@ -57,7 +57,7 @@ class Postings:
         """The files of a segment that may hold one of the lexemes."""
         directory = self.spark.read.schema(_DIRECTORY).parquet(segment["directory"])
         may = reduce(Column.__or__, [F.lit(x).between(F.col("first"), F.col("last")) for x in lexemes])
-        return [r.file for r in directory.where(may).select("file").collect()]
+        return [r.file for r in directory.where(may).select("file").collect()]  # names of files only
 
     def _live(self, parts: list[tuple[int, DataFrame]], segments: list[dict]) -> DataFrame:
         """Postings of segments, by number, without those of rows that a later segment names."""
@@ -90,8 +90,8 @@ class Postings:
         lexemes, next to each other in a phrase. Rank, for rows of one class, grows with the occurrences: the sum of
         1 + ln(occurrences)."""
         wanted = [(x, ix, k, len(words), phrase and len(words) > 1) for ix, words, phrase in terms for k, x in enumerate(words)]
-        table = self.spark.createDataFrame(wanted, "lexeme string, ix int, k int, n_words int, phrase boolean")
-        met = self.read(sorted({w[0] for w in wanted})).join(F.broadcast(table), "lexeme")
+        uses = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("of", "ix", "k", "n_words", "phrase"), w)]) for w in wanted])
+        met = self.read(sorted({w[0] for w in wanted})).select("*", F.explode(F.filter(uses, lambda u: u["of"] == F.col("lexeme"))).alias("u")).select("*", "u.*")
         phrases = any(w[4] for w in wanted)
         where = F.collect_list(F.struct("k", "positions")) if phrases else F.lit(None).cast("array<struct<k:int,positions:array<int>>>")
         per_class = met.groupBy("row_id", "ix", "weight").agg(

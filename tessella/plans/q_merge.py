@@ -243,6 +243,13 @@ def nearest(t):
     return joins.nearest(e.where("id % 50 = 0"), e, 5).select("query_id", "ref_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("join8_probed")
+def nearest_probed(t):
+    """The same from eight cells of the index: not exact."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return joins.nearest(e.where("id % 50 = 0"), e, 5, probes=8).select("query_id", "ref_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("join9_nearest_owner", "select query_id, owner, rank from (select query_id, owner, row_number() over (partition by query_id order by d, owner) as rank from (select a.vec_id as query_id, b.label as owner, min(1 - list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))) as d from embeddings a, embeddings b where a.vec_id % 50 = 0 group by 1, 2)) where rank <= 2")
 def nearest_owner(t):
     e = t.embeddings
@@ -263,7 +270,7 @@ def mean_distance(t):
 
 @query("set11_clusters")
 def clusters(t):
-    return cluster.clusters(cluster.blocks(t.embeddings, "vec_id", "embedding"), "block", "vec_id", "embedding")
+    return cluster.clusters(t.embeddings, "vec_id", "embedding")
 
 
 @query("set13_prototypes")

@@ -42,8 +42,12 @@ class Snapshots:
         version = self.latest() if version is None else version
         if version is None:
             raise FileNotFoundError(f"{self.root} has no version yet")
-        rows = self.spark.read.text(f"{self.root}/versions/{version:010d}.json", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        place = self._path(f"{version:010d}.json")
+        stream = place.getFileSystem(self.conf).open(place)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def commit(self, base: int | None, content: dict) -> int:
         """Writes the version after `base`."""
@@ -66,3 +70,10 @@ class Snapshots:
 
     def new_part(self) -> str:
         return f"{self.root}/parts/{uuid.uuid4().hex}"
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and latest change of the files of a table: what is derived from it can be told from what is out of date."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = list(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place))
+    return sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)

@@ -257,8 +257,8 @@ def test_clusters_and_split(spark):
     x = np.concatenate([c + rnd.normal(0, 0.02, (10, 3)) for c in centres])
     assert len(set(cluster.average_linkage(x, 0.45))) == 3
     assert len(set(cluster.split_clusters(x, 1.9, most=12))) >= 2
-    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, b int, v array<double>")
-    groups = {r.id: r.cluster for r in cluster.clusters(df, "b", "id", "v").collect()}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    groups = {r.id: r.cluster for r in cluster.clusters(df, "id", "v").collect()}
     assert set(groups.values()) == {0, 10, 20}
 
 
