@@ -11,8 +11,9 @@ page count once, as evidence is what else a page says at length. And on pages wi
 innermost container that holds most of the text in slots; a page of a host without such a block is read whole.
 
 Main text is what stands in the article, main or main block (else anywhere) outside of navigation, headers, footers,
-sidebars, notices, adverts, forms, scripts and comments, as tags, classes, ids and roles name them, and isn't template text. No
-text inside article or main is dropped as template text. Null html is an empty page with an empty text; a null or odd url belongs
+sidebars, notices, adverts, forms, scripts and comments, as tags, classes, ids and roles name them, and isn't template text. An
+article or main that is itself set apart, or that holds less running text than the rest of the page (a teaser), isn't the article.
+No text inside article or main is dropped as template text, because it is hidden, or for a word within a longer class name. Null html is an empty page with an empty text; a null or odd url belongs
 to one common host; repeated rows are the same page to the fold. Extra columns are ignored.
 """
 
@@ -22,10 +23,10 @@ import heapq
 import html as html_lib
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,6 +50,12 @@ APART_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|newsletter|subscribe|signup|login|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|aside|widgets?|related|recommended|share|sharing|social|comments?|commentlist|replies|reply|responses?|disqus|footers?|masthead|topbar|toolbar|pagination|pager|search|skip|copyright|legal|complementary|contentinfo|site-header|page-header)(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article a name must say so whole, each of its parts one of these or of the words above ("social-history" doesn't), and
+#: the weak ones need a second sign: that most of the element's text is links.
+HELPERS = frozenset(
+    "area article articles bar bars block blocks body bottom box btn button buttons col column container content desktop end entry form full group header holder icon icons inline inner item items left link links list main mobile module outer page panel post posts right row section site slot small sticky strip text thread title top unit wrap wrapper zone".split()
+)
+WEAK = frozenset("copyright legal reply response search skip social".split())
 #: A name such as has-sidebar speaks of another element.
 ABOUT = re.compile(r"^(?:has|with|without|no|not|is|non)[_-]?", re.I)
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -131,8 +138,40 @@ def set_apart(words: str) -> bool:
     return any(APART_WORD.search(CAMEL.sub("-", w)) for w in words.split() if not (ABOUT.match(w) and ABOUT.match(w).end() < len(w)))
 
 
+def _linked_share(node: Node) -> float:
+    """The share of an element's text that is in links."""
+    total = links = 0
+    stack = [(node, False)]
+    while stack:
+        e, inside = stack.pop()
+        for k in e.kids:
+            if isinstance(k, str):
+                n = len(clean(k))
+                total, links = total + n, links + n * inside
+            else:
+                stack.append((k, inside or k.tag == "a"))
+    return links / total if total else 1.0
+
+
+def set_apart_inside(k: Node) -> bool:
+    """set_apart for an element of an article: whole names only, and weak words with a second sign."""
+    weak = False
+    for w in k.words.split():
+        if not set_apart(w):
+            continue
+        parts = [x for x in re.split("[_-]", CAMEL.sub("-", w).lower()) if x and not x.isdigit()]
+        known = [x for x in parts if APART_WORD.search(x)]
+        if all(x in known or x in HELPERS for x in parts):
+            if any(x not in WEAK for x in known) or not known:
+                return True
+            weak = True
+    return weak and _linked_share(k) >= 0.5
+
+
 def _is_apart(k: Node, article: bool) -> bool:
-    return k.tag in APART or k.hidden or k.tag == "header" and not article or bool(k.words and k.tag not in ("html", "body", "main") and set_apart(k.words))
+    if article:  # what an article has is its text, but for what is named without doubt
+        return k.tag in APART and k.tag not in ("label", "menu") or bool(k.words) and k.tag != "main" and set_apart_inside(k)
+    return k.tag in APART or k.hidden or k.tag == "header" or bool(k.words and k.tag not in ("html", "body", "main") and set_apart(k.words))
 
 
 def clean(raw: str) -> str:
@@ -144,9 +183,10 @@ def clean(raw: str) -> str:
 # apart. Texts have the signature "#".
 SIG, OPTIONAL, REPEATED, CONSTANT, KIDS, PAGES, CHARS, TIMES = range(8)
 EVIDENCE, TURN, FAN = 3, 3, 64
-#: A wrapper with more nodes loses optional ones that fewer than a thousandth of its pages have: their texts aren't template text.
-MOST_NODES = 50_000
-#: Sibling lists whose product is beyond this are aligned by the next equal signature instead of the longest common sequence.
+#: An optional part that fewer than this share of a host's pages have is dropped whenever another thousand pages have come: too
+#: few to tell template text from.
+RARE = 1000
+#: Lists of siblings are halved until a table of their pairs has so many cells.
 MOST_CELLS = 250_000
 
 
@@ -217,33 +257,48 @@ def _aligned(groups: list[list], kids: list[list]) -> list[list]:
     return out
 
 
+def _common(x: list[str], y: list[str]) -> np.ndarray:
+    """For each n, the length of the longest common sequence of x and the first n of y: a bit for each element of y, worked on at once."""
+    places: dict[str, int] = {}
+    for j, s in enumerate(y):
+        places[s] = places.get(s, 0) | 1 << j
+    full = v = (1 << len(y)) - 1
+    for s in x:
+        if u := v & places.get(s, 0):
+            v = (v + u | v - u) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def _matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Places of equal signatures in ascending order: the most there are, or for very long lists each with the next."""
+    """Places of a longest common sequence, in ascending order. Long lists are halved where the parts have most in common."""
     lo = 0
     while lo < min(len(x), len(y)) and x[lo] == y[lo]:
         lo += 1
     found = [(i, i) for i in range(lo)]
-    x, y = x[lo:], y[lo:]
-    if len(x) * len(y) > MOST_CELLS:
-        places: dict[str, list[int]] = {}
-        for j, s in enumerate(y):
-            places.setdefault(s, []).append(j)
-        at = 0
-        for i, s in enumerate(x):
-            own = places.get(s, [])
-            k = bisect_left(own, at)
-            if k < len(own) and own[k] - at < 64:
-                found.append((i + lo, own[k] + lo))
-                at = own[k] + 1
-        return found
+    todo = [(lo, len(x), lo, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if (b - a) * (d - c) <= MOST_CELLS or b - a < 2:
+            found += [(a + i, c + j) for i, j in _longest_common(x[a:b], y[c:d])]
+            continue
+        half = (a + b) // 2
+        at = c + int(np.argmax(_common(x[a:half], y[c:d]) + _common(x[half:b][::-1], y[c:d][::-1])[::-1]))
+        todo += [(half, b, at, d), (a, half, c, at)]  # the first half is taken next
+    return found
+
+
+def _longest_common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    if len(x) == 1:
+        return [(0, y.index(x[0]))] if x[0] in y else []
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
+    found, i, j = [], 0, 0
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
-            found.append((i + lo, j + lo))
+            found.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
@@ -296,11 +351,11 @@ def unpacked_wrapper(text: str) -> list:
 def _add(state: list | None, new: list) -> list:
     if state is None:
         return new
+    before = state[TIMES]
     state = merged([state, new])
-    nodes = _nodes(state)
-    if len(nodes) > MOST_NODES:
-        for e in nodes:
-            e[KIDS] = [k for k in e[KIDS] if not k[OPTIONAL] or k[TIMES] * 1000 >= state[TIMES]]
+    if before // RARE != state[TIMES] // RARE:
+        for e in _nodes(state):
+            e[KIDS] = [k for k in e[KIDS] if not k[OPTIONAL] or k[TIMES] * RARE >= state[TIMES]]
     return state
 
 
@@ -419,32 +474,41 @@ def _walk(root: Node, template: frozenset[int] | set[int], only: str, block: int
     return blocks, met, headed
 
 
-def _tags(root: Node) -> tuple[bool, list[Node]]:
-    """Whether there is an article or main at all, and the h1 outside of what is set apart."""
-    stack, found, first = [(root, False)], False, []
+def _tags(root: Node, template: frozenset[int] | set[int]) -> tuple[int, int, list[Node]]:
+    """Characters of running text inside and outside of articles and mains, and the h1 outside of what is set apart. Links, template
+    text and what is set apart don't count."""
+    stack, inside, outside, first = [(root, 0, False)], 0, 0, []
     while stack:
-        node, apart = stack.pop()
+        node, key, article = stack.pop()
         for k in node.kids:
-            if not isinstance(k, str):
-                found = found or k.tag in ("article", "main")
-                own = apart or _is_apart(k, False)
-                if k.tag == "h1" and not own:
+            if isinstance(k, str):
+                text = clean(k)
+                if article:
+                    inside += len(text)
+                elif text and not (template and _digest(f"{key:x}#{_digest(text)}") in template):
+                    outside += len(text)
+            elif not _is_apart(k, article):
+                if k.tag == "h1":
                     first.append(k)
-                stack.append((k, own))
-    return found, first
+                if k.tag != "a" or article:
+                    stack.append((k, _below(key, k.sig) if template else 0, article or k.tag in ("article", "main")))
+    return inside, outside, first
 
 
 def main_text(source: str, template: frozenset[int] | set[int] = frozenset(), block: int = 0) -> str:
-    """The main text, given the keys of the host's constants and main block."""
+    """The main text, given the keys of the host's constants and main block. Articles are read where they hold as much text as the
+    rest of the page; else the main block, else the whole page."""
     root = parse(source)
-    tagged, first = _tags(root)
-    if not tagged and block:
+    inside, outside, first = _tags(root, template)
+    if inside and inside >= outside:
+        return "\n\n".join(_walk(root, template, "article", 0)[0])
+    if block and not inside:
         blocks, met, headed = _walk(root, template, "block", block)
         if met and blocks:
             if not headed and len(first) == 1:
                 blocks = _walk(first[0], frozenset(), "", 0)[0] + blocks
             return "\n\n".join(blocks)
-    return "\n\n".join(_walk(root, template, "article" if tagged else "", 0)[0])
+    return "\n\n".join(_walk(root, template, "", 0)[0])
 
 
 #: Wrappers' constants are broadcast up to so many keys in all; beyond, pages and wrappers meet by host in a shuffle, a

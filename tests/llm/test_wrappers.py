@@ -89,3 +89,57 @@ def test_many_hosts_meet_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "BROADCAST_KEYS", 0)
     got = extracted(spark, [soup(i) for i in range(5)])
     assert got[3].startswith("Title 3") and "Printed" not in got[3]
+
+
+ARTICLE = '<html><body><nav>Menu</nav><div class="content"><h1>Title</h1><p>Main text of the page, long enough to be told.</p></div>{}</body></html>'
+
+
+@pytest.mark.parametrize(
+    "more,want",
+    [
+        ("<aside><article>Teaser</article></aside>", "Title\n\nMain text of the page, long enough to be told."),
+        ('<div class="related"><article>Teaser</article></div>', "Title\n\nMain text of the page, long enough to be told."),
+        ("<section><article>Teaser</article></section>", "Title\n\nMain text of the page, long enough to be told.\n\nTeaser"),
+        ("<article></article>", "Title\n\nMain text of the page, long enough to be told."),
+    ],
+)
+def test_an_article_that_is_not_the_article(more, want):
+    assert wrappers.main_text(ARTICLE.format(more)) == want
+
+
+def test_an_article_keeps_what_is_not_named_without_doubt():
+    body = '<p>One two three.</p><label>Label</label><menu><li>Soup</menu><div hidden>Hidden</div><p class="legal">Law</p><p class="response">Answer</p><p class="search-results-story">Story</p><p class="social-history">History</p>'
+    gone = '<div class="comments">C</div><div id="comment-list">C</div><div class="share-buttons">X</div><div class="ad-slot">A</div><div class="newsletterBox">N</div><div class="social"><a href="/">F</a></div><form><label>L</label></form>'
+    assert wrappers.main_text(f"<article>{body}{gone}</article>") == "One two three.\n\nLabel\n\nSoup\n\nHidden\n\nLaw\n\nAnswer\n\nStory\n\nHistory"
+
+
+def test_text_outside_of_a_page_without_article_is_never_lost():
+    for tag in ("div", "section", "article", "main", "p", "td"):
+        assert wrappers.main_text(f"<body><{tag}>Some words</{tag}></body>") == "Some words"
+
+
+@pytest.mark.parametrize("n,m,kinds", [(40, 60, 3), (700, 900, 2), (900, 700, 40), (3000, 2500, 5), (1, 400_000, 2), (400_000, 1, 2)])
+def test_siblings_are_aligned_as_well_as_possible(n, m, kinds):
+    import random
+
+    rng = random.Random(n)
+    x, y = [str(rng.randrange(kinds)) for _ in range(n)], [str(rng.randrange(kinds)) for _ in range(m)]
+    found = wrappers._matches(x, y)
+    assert all(x[i] == y[j] for i, j in found) and all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+    if n * m < 1_000_000:
+        last = [0] * (m + 1)
+        for a in x:
+            now = [0]
+            for j, b in enumerate(y):
+                now.append(last[j] + 1 if a == b else max(last[j + 1], now[j]))
+            last = now
+        assert len(found) == last[-1]
+    else:
+        assert len(found) == int(wrappers._common(x, y)[-1])
+
+
+def test_rare_optional_parts_go_whatever_the_size(monkeypatch):
+    monkeypatch.setattr(wrappers, "RARE", 10)
+    pages = [f"<body><div>common {i}</div>" + ("<b>rare</b>" if i == 3 else "") + ("<i>often</i>" if i % 2 else "") + "</body>" for i in range(40)]
+    sigs = {e[0] for e in wrappers._nodes(wrappers.fold(pages))}
+    assert "b" not in sigs and "i" in sigs
