@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For stages that keep a table's columns and name their own with two underscores: a table's columns of such names are
+    called otherwise meanwhile."""
+
+    @functools.wraps(stage)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        had = df.columns
+        if not any(c.startswith("__") for c in had):
+            return stage(df, *args, **options)
+        out = stage(df.toDF(*[f"column {i}" if c.startswith("__") else c for i, c in enumerate(had)]), *args, **options)
+        return out.toDF(*had, *out.columns[len(had) :])
+
+    return run
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

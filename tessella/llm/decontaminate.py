@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe, text_or_empty, written
+from .common import null_safe, own_names, text_or_empty, written
 
 SHINGLE, RADIUS, BLOCKS = 5, 23, 8
 #: Item tables, and documents with candidates, are broadcast up to this many bytes, and shuffled beyond.
@@ -118,6 +118,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return matches(docs, items).groupBy("doc_id", "item_id").agg(F.min_by("start_word", F.struct(-F.col("similarity"), "start_word")).alias("start_word"), F.max("n_words").alias("n_words"), F.round(F.max("similarity"), 6).alias("similarity"))
 
 
+@own_names
 def without_matches(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
     bad = written(matches(docs, items, threshold).select("doc_id", "text_key").distinct(), "contaminated")

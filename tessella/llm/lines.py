@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, null_safe, written
+from .common import WS, null_safe, own_names, written
 
 #: Lines to drop are broadcast up to this many rows of about 40 bytes, and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
@@ -30,6 +30,7 @@ def boilerplate(df: DataFrame, host: Column, text: str = "text", max_ratio: floa
     return written(found.select("host", "k1", "k2", "pages", "total"), "boilerplate")
 
 
+@own_names
 def without_boilerplate(df: DataFrame, host: Column, text: str = "text", max_ratio: float = 0.02, min_pages: int = 3) -> DataFrame:
     """df with its columns, the lines dropped from `text`, and `n_lines` and `n_removed` at the end."""
     drop = boilerplate(df, host, text, max_ratio, min_pages)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, text_or_empty, words
+from .common import WS, own_names, text_or_empty, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")
 
@@ -117,6 +117,7 @@ def ablations(led: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
+@own_names
 def passing(df: DataFrame, text: str = "text", policy: str = "v1") -> DataFrame:
     """The rows of df that the policy keeps, with all their columns."""
     had = df.columns

@@ -66,7 +66,7 @@ def test_pipeline_on_odd_rows(spark, odd, empty):
     assert [r.doc_id for r in c.run(spark, odd).collect()] == [1]
 
 
-CLASH = ("host", "template", "block", "salt", "digest", "h", "size", "shard", "pid", "n", "w", "iw", "item_key", "fp", "places", "start", "pos", "line", "k1", "total", "part", "failed", "pii", "root", "node", "bucket", "d")
+CLASH = ("host", "template", "block", "salt", "digest", "h", "size", "shard", "pid", "n", "w", "iw", "item_key", "fp", "places", "start", "pos", "line", "k1", "total", "part", "failed", "pii", "root", "node", "bucket", "d", "__n", "__k", "__m", "__node", "__q_text", "__q_w", "__q_stay", "__l_gone", "__l_host", "__d_id", "__d_bad", "__d_key")
 
 
 def test_columns_of_clashing_names(spark, odd):
@@ -85,4 +85,5 @@ def test_columns_of_clashing_names(spark, odd):
         wide = docs.withColumns(more)
         out = stage(wide)
         assert out.columns[: len(wide.columns)] == wide.columns
+        assert {r["__n"] for r in out.select("__n").collect()} <= {1}
         assert same(stage(docs), out, docs.columns)
