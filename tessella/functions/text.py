@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .metaphone import codes, double_metaphone
 
 #: Letters with marks and their plain forms.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšťūůűźżž"
@@ -177,23 +177,12 @@ def lexemes(x: Column) -> Column:
     return F.transform(words, stem)
 
 
-_VOWELS = set("AEIOUY")
+def phonetic(x: Column) -> Column:
+    """The first Double Metaphone code of single words; null for several."""
+    return F.when(~F.contains(x, F.lit(" ")), double_metaphone(x)["first"])
 
 
 def phonetic_key(word: str | None) -> str | None:
-    """A consonant code in the spirit of the metaphone family: letters that sound alike share a code."""
-    if not word:
-        return None
-    w = re.sub("[^A-Z]", "", word.upper())
-    if not w:
-        return None
-    for pattern, to in ((r"^(?:KN|GN|PN)", "N"), (r"^WR", "R"), (r"^PS", "S"), (r"^X", "S"), (r"^WH", "W"), (r"SCH", "X"), (r"TCH|CH|SH|TI(?=O)|SI(?=O)", "X"), (r"PH", "F"), (r"TH", "0"), (r"GH(?=[^AEIOUY]|$)", ""), (r"GH", "K"), (r"DG(?=[EIY])", "J"), (r"CK", "K"), (r"C(?=[EIY])", "S"), (r"[CQ]", "K"), (r"G(?=[EIY])", "J"), (r"G", "K"), (r"D", "T"), (r"V", "F"), (r"Z", "S"), (r"X", "X"), (r"MB$", "M"), (r"W(?=[^AEIOU]|$)", ""), (r"H(?=[^AEIOUY]|$)", ""), (r"(.)\1+", r"\1")):
-        w = re.sub(pattern, to, w)
-    out = ("A" if w[:1] in _VOWELS else w[:1]) + "".join(c for c in w[1:] if c not in _VOWELS and c != "H")
-    return re.sub(r"(.)\1+", r"\1", out)[:4]
-
-
-@F.pandas_udf(T.StringType())
-def phonetic(x: pd.Series) -> pd.Series:
-    """phonetic_key of single words; null for several."""
-    return x.map(lambda s: phonetic_key(s) if isinstance(s, str) and " " not in s else None)
+    """phonetic for a word of a query."""
+    found = codes(word) if word and " " not in word else None
+    return found and found[0]

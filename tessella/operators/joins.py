@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.text import looks_alike
 from ..functions.values import overlap_area
-from . import vectors
+from . import intervals, vectors
 
 #: A side is broadcast if it is at most this many rows; beyond that the equi-join is shuffled.
 BROADCAST_ROWS = 50_000
@@ -51,37 +51,25 @@ def exact_or_alike(terms: DataFrame, names: DataFrame, exact: int = 100, alike:
     if kinds and "kind" in names.columns:
         worth = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in kinds.items()], F.when(F.col("kind").isNull(), exact), F.lit(alike))
     same = names.join(t.drop("key"), F.col("token") == F.col("term")).select("ix", "id", "token", worth.alias("rank"))
-    n, k = names.withColumnRenamed("key", "__k"), t
-    near = n.join(k, F.col("__k") == F.col("key")).where((F.col("token") != F.col("term")) & looks_alike(F.col("token"), F.col("term"))).select("ix", "id", "token", F.lit(alike).alias("rank"))
-    w = Window.partitionBy("ix", "id").orderBy(F.desc("rank"), "token")
-    return same.unionByName(near).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    # likeness is told once for each different token, however many have it
+    tokens = names.select("token", F.col("key").alias("__k")).distinct()
+    near = tokens.join(t, F.col("__k") == F.col("key")).where((F.col("token") != F.col("term")) & looks_alike(F.col("token"), F.col("term"))).select("ix", F.col("token").alias("__t"), "__k")
+    near = names.join(near, (F.col("token") == F.col("__t")) & (F.col("key") == F.col("__k"))).select("ix", "id", "token", F.lit(alike).alias("rank"))
+    best = same.unionByName(near).groupBy("ix", "id").agg(F.min(F.struct((-F.col("rank")).alias("below"), "token")).alias("b"))
+    return best.select("ix", "id", "b.token", (-F.col("b.below")).alias("rank"))
 
 
 def in_span(rows: DataFrame, lo: str, hi: str, spans: DataFrame, inside: int = 75, across: int = 67, few: int = 1_000) -> DataFrame:
     """Rows whose closed span overlaps that of a query (ix, q_lo, q_hi; null bounds are open), scored by containment. Few query
-    spans are broadcast; more of them meet the rows by the years that both cover, open bounds reaching as far as the rows do."""
+    spans are broadcast; more of them meet the rows by dyadic blocks of days."""
     a, b, c, d = F.col(lo), F.col(hi), F.col("q_lo"), F.col("q_hi")
     if is_small(spans, few):
         j = rows.join(F.broadcast(spans), dates.overlaps(a, b, c, d) & a.isNotNull())
     else:
-        first, last = rows.agg(F.min(lo), F.max(F.greatest(lo, hi))).first()
-        first, last = F.lit(first).cast("date"), F.lit(last).cast("date")
-        closed = spans.withColumns({"__lo": F.coalesce("q_lo", F.least("q_hi", first)), "__hi": F.coalesce("q_hi", F.greatest("q_lo", last))})
-        closed = closed.withColumns({"__lo": F.greatest("__lo", first), "__hi": F.least("__hi", last)}).where("__lo <= __hi")
-        dated = rows.withColumn("__end", F.coalesce(hi, last))
-        j = by_year(dated, lo, "__end", closed, "__lo", "__hi").drop("__lo", "__hi", "__end")
+        j = intervals.overlapping(rows.where(a.isNotNull()), lo, hi, spans)
     return j.withColumn("score", F.when(dates.contained(a, b, c, d), inside).otherwise(across))
 
 
-def by_year(rows: DataFrame, lo: str, hi: str, spans: DataFrame, q_lo: str = "q_lo", q_hi: str = "q_hi") -> DataFrame:
-    """The same for many query spans with both bounds: an equi-join on the years that both cover, each pair once."""
-    years = lambda x, y: F.explode(F.sequence(F.year(x), F.year(y)))
-    r = rows.where(F.col(lo).isNotNull()).withColumn("__y", years(lo, hi))
-    s = spans.withColumn("__y", years(q_lo, q_hi))
-    hit = r.join(s, "__y").where((F.col(lo) <= F.col(q_hi)) & (F.col(hi) >= F.col(q_lo)))
-    return hit.where(F.col("__y") == F.greatest(F.year(lo), F.year(q_lo))).drop("__y")
-
-
 def nearest(queries: DataFrame, refs: DataFrame, k: int = 1, most: float | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, ref_id, distance, rank): cosine top-k of every query among refs (id, vector), ids breaking ties. Exact; with `probes`
     only so many cells of the index are looked into."""

@@ -3,10 +3,11 @@
 import dataclasses
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, text, values
+from ..functions import dates, metaphone, text, values
 from ..operators import graph, joins
 from ..operators.postings import Postings
 from ..session import spread
@@ -28,12 +29,33 @@ def search_text(t):
     return t.documents.select("doc_id", text.search_text(F.col("lang")).alias("lang"), F.length(text.search_text(F.col("text"))).cast("long").alias("n"))
 
 
-@query("fn3_phonetic")
+#: Double Metaphone codes of the words in part, nation, region and customer.
+_SPOKEN = """
+africa AFRK AFRK|america AMRK AMRK|anvil ANFL ANFL|asia AS AX|automobile ATMP ATMP|blue PL PL|bolt PLT PLT|building PLTN PLTN|cold KLT KLT|europe ARP ARP
+furniture FRNT FRNT|gear JR KR|gizmo JSM KSM|hot HT HT|household HSHL HSHL|large LRJ LRK|machinery MXNR MKNR|middle MTL MTL|nation NXN NXN|new N NF
+old ALT ALT|plate PLT PLT|red RT RT|ring RNK RNK|rod RT RT|small SML XML|widget AJT FJT
+"""
+_CODES = "(values " + ", ".join("('{}', '{}', '{}')".format(*x.split()) for x in _SPOKEN.strip().replace("\n", "|").split("|") if x) + ") as k(word, first, second)"
+
+
+@query("fn3_phonetic", f"select p_partkey, first as key from (select p_partkey, regexp_extract(p_name, '([A-Za-z]+)', 1) as word from part) left join {_CODES} using (word)")
 def phonetic(t):
     w = t.part.select("p_partkey", F.regexp_extract("p_name", "([A-Za-z]+)", 1).alias("word"))
     return w.select("p_partkey", text.phonetic(F.col("word")).alias("key"))
 
 
+@query(
+    "fn3_both_codes",
+    f"""with w as (select 'part' as kind, p_partkey as id, split_part(p_name, ' ', 2) as word from part union all select 'nation', n_nationkey, split_part(n_name, ' ', 1) from nation union all
+    select 'region', r_regionkey, split_part(r_name, ' ', 1) from region union all select 'customer', c_custkey, c_mktsegment from customer) select kind, id, first, second from w left join {_CODES} on k.word = regexp_replace(lower(w.word), '[^a-z]', '', 'g')""",
+)
+def both_codes(t):
+    kinds = {"part": (t.part, "p_partkey", F.split_part("p_name", F.lit(" "), F.lit(2))), "nation": (t.nation, "n_nationkey", F.split_part("n_name", F.lit(" "), F.lit(1))), "region": (t.region, "r_regionkey", F.split_part("r_name", F.lit(" "), F.lit(1))), "customer": (t.customer, "c_custkey", F.col("c_mktsegment"))}
+    words = [df.select(F.lit(k).alias("kind"), F.col(key).cast("long").alias("id"), w.alias("word")) for k, (df, key, w) in kinds.items()]
+    spoken = reduce(lambda a, b: a.unionByName(b), words).withColumn("c", metaphone.double_metaphone(F.col("word")))
+    return spoken.select("kind", "id", "c.first", "c.second")
+
+
 @query(
     "fn4_trigram",
     """with a as (select distinct p_type as x from part), p as (select a.x as x, b.x as y from a, a b where a.x < b.x),
@@ -376,7 +398,7 @@ def explained(t):
 @query("search_names", """select o_orderkey as row_id, 80 + max(case when l_returnflag = 'R' then 20 else 50 end) as score, 'Shows Supplier; Mentioned in its text (a)' as why from orders join lineitem on o_orderkey = l_orderkey where o_orderpriority = '1-URGENT' group by 1 order by 2 desc, 1 desc limit 50""")
 def names(t):
     people = t.supplier.select(F.col("s_suppkey").alias("id"), F.lower(F.regexp_replace("s_name", "[^A-Za-z]", "")).alias("token"))
-    people = people.withColumn("key", text.phonetic(F.col("token")))
+    people = graph.kept_table(people.withColumn("key", text.phonetic(F.col("token"))), "names")  # spoken codes are stored with names
     tagged = t.lineitem.select(F.col("l_orderkey").alias("row_id"), F.col("l_suppkey").alias("person_id"), (F.col("l_returnflag") == "R").alias("suggested"))
     s = search.Sources(rows=t.orders.select("o_orderkey", F.col("o_orderpriority").alias("text")), id="o_orderkey", weights={"a": "text"}, names=people, tagged=tagged)
     page = search.search(s, "suplier urgent")

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import dates, text, values
-from tessella.operators import cluster, graph, joins, merge, paging, windows
+from tessella.functions import dates, metaphone, text, values
+from tessella.operators import cluster, graph, intervals, joins, merge, paging, windows
 from tessella.operators.predicates import Filters, list_key, parse_list_key
 from tessella.plans import search
 from tessella.sources import files
@@ -48,6 +48,23 @@ def test_phonetic_keys_agree(a, b):
     assert text.phonetic_key(a) == text.phonetic_key(b)
 
 
+#: Published codes of names and words.
+SPOKEN = """testing TSTN TSTN|The 0 T|quick KK KK|brown PRN PRN|fox FKS FKS|jumped JMPT AMPT|over AFR AFR|lazy LS LS|dogs TKS TKS|MacCafferey MKFR MKFR|Stephan STFN STFN|Kuczewski KSSK KXFS
+mclaughlin MKLF MKLF|xenophobia SNFP SNFP|Fokker FKR FKR|Joqqi JK AK|Hovvi HF HF|Czerny SRN XRN|Smith SM0 XMT|Schmidt XMT SMT|Thomas TMS TMS|Wagner AKNR FKNR|Xavier SF SFR|Michael MKL MXL|Jose HS HS
+Cabrillo KPRL KPR|rough RF RF|Thumb 0M TM|island ALNT ALNT|Caesar SSR SSR|sugar XKR SKR|edge AJ AJ|Edgar ATKR ATKR|Wright RT RT|Knight NT NT|Bach PK PK|Filipowicz FLPT FLPF|Arnow ARN ARNF|Arnoff ARNF ARNF
+school SKL SKL|accident AKST AKST|laugh LF LF|cagney KKN KKN|breaux PR PR|resnais RSN RSNS|artois ART ARTS|danger TNJR TNKR|Schneider XNTR SNTR|Snider SNTR XNTR|campbell KMPL KMPL|raspberry RSPR RSPR
+Orchestra ARKS ARKS|chianti KNT KNT|character KRKT KRKT|chorus KRS KRS|chore XR XR|focaccia FKX FKX|ghislane JLN JLN|ghost KST KST|biaggi PJ PK"""
+
+
+def test_double_metaphone(spark):
+    known = [x.split() for x in SPOKEN.replace("\n", "|").split("|")]
+    df = spark.createDataFrame([(w,) for w, _, _ in known] + [("",), ("12",), (None,), ("O'Neil-éx",)], "w string")
+    got = [(r.w, r.c and tuple(r.c)) for r in df.select("w", metaphone.double_metaphone(F.col("w")).alias("c")).collect()]
+    assert got[: len(known)] == [(w, (a, b)) for w, a, b in known]
+    assert [c for _, c in got[len(known) :]] == [None, None, None, ("ANLK", "ANLK")]
+    assert all(metaphone.codes(w) == c for w, c in got)
+
+
 def test_phonetic_key_of_nothing():
     assert text.phonetic_key("") is None and text.phonetic_key("12") is None
 
@@ -262,13 +279,32 @@ def test_clusters_and_split(spark):
     assert set(groups.values()) == {0, 10, 20}
 
 
-def test_interval_join_by_years_equals_plain(spark):
-    d = lambda n: dt.date(1990, 1, 1) + dt.timedelta(days=n)
+def test_dyadic_interval_join_equals_plain(spark):
+    d = lambda n: n is not None and dt.date(1800, 1, 1) + dt.timedelta(days=n) or None
     rnd = random.Random(3)
-    rows = [(i, d(a := rnd.randrange(3000)), d(a + rnd.randrange(900))) for i in range(60)]
-    spans = [(i, d(a := rnd.randrange(3000)), d(a + rnd.randrange(900))) for i in range(30)]
-    got = {(r.id, r.ix) for r in joins.by_year(spark.createDataFrame(rows, "id int, lo date, hi date"), "lo", "hi", spark.createDataFrame(spans, "ix int, q_lo date, q_hi date")).collect()}
-    assert got == {(i, k) for i, a, b in rows for k, x, y in spans if a <= y and b >= x}
+
+    def some(n):
+        out = []
+        for i in range(n):
+            a = rnd.randrange(1, 90_000)
+            b = a + rnd.choice([0, 1, 30, 900, 40_000, -5])
+            out.append((i, d(rnd.choice([a, a, a, None])), d(rnd.choice([b, b, b, None]))))
+        return out + [(n, d(5000), d(5000)), (n + 1, d(5000), d(5000)), (n + 2, None, None)]
+
+    rows, spans = some(60), some(50)
+    got = [(r.id, r.ix) for r in intervals.overlapping(spark.createDataFrame(rows, "id int, lo date, hi date"), "lo", "hi", spark.createDataFrame(spans, "ix int, q_lo date, q_hi date")).collect()]
+    want = {(i, k) for i, a, b in rows for k, x, y in spans if (y is None or a is None or a <= y) and (x is None or b is None or b >= x)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_dyadic_blocks_are_few_and_exact(spark):
+    rnd = random.Random(4)
+    spans = [(a := rnd.randrange(100_000), a + rnd.choice([0, 1, 2, 7, 1000, 99_999])) for _ in range(200)] + [(0, (1 << intervals.LEVELS) - 1), (5, 4)]
+    df = spark.createDataFrame(spans, "lo long, hi long")
+    for r in df.select("lo", "hi", intervals.blocks(F.col("lo"), F.col("hi")).alias("b")).collect():
+        days = sorted((b.block << b.level, (b.block + 1 << b.level) - 1) for b in r.b)
+        assert len(days) <= 2 * max((r.hi - r.lo + 1).bit_length(), 1)
+        assert (not days and r.hi < r.lo) or (days[0][0], days[-1][1]) == (r.lo, r.hi) and all(y + 1 == x for (_, y), (x, _) in zip(days, days[1:]))
 
 
 def test_assigned_regions(spark):
