@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import walks
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by an order that should end in an id."""
@@ -83,28 +84,12 @@ def reasons(df: DataFrame, key: str, id_col: str, flags: dict[str, str], sizes:
 
 def bursts(df: DataFrame, keys: list[str], time: str, id_col: str, window: float = 2.0, least: int = 3, limbs: str | None = None, most_bits: int = 4) -> DataFrame:
     """Greedy anchored groups per key: rows within `window` seconds of the first; at least so many, any two of which
-    differ in few bits; else the next row becomes the anchor. Not a gap session. One key's rows meet in one task;
-    choose keys (a folder, a day) that bound them."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, id_col], kind="stable")
-        t = pdf[time].astype("int64").to_numpy() if pdf[time].dtype.kind != "M" else pdf[time].astype("datetime64[us]").astype("int64").to_numpy()
-        h = pdf[limbs].tolist() if limbs else None
-        ids, out, i, n = pdf[id_col].tolist(), [], 0, len(pdf)
-        while i < n:
-            j = i + 1
-            while j < n and t[j] - t[i] <= window * 1e6:
-                j += 1
-            close = h is None or all(sum(((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(h[a], h[b])) <= most_bits for a in range(i, j) for b in range(a))
-            if j - i >= least and close:
-                out += [(ids[k], ids[i], j - i, (t[j - 1] - t[i]) / 1e6) for k in range(i, j)]
-                i = j
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=["id", "burst", "size", "span"]).astype({"id": "int64", "burst": "int64", "size": "int64", "span": "float64"})
-
-    cols = [*keys, time, id_col, *([limbs] if limbs else [])]
-    return df.where(F.col(time).isNotNull()).select(*cols).groupBy(*keys).applyInPandas(one, "id long, burst long, size long, span double")
+    differ in few bits; else the next row becomes the anchor. Not a gap session. A key of any size is walked in sessions; a task
+    holds the rows of one window. Rows without a time are in none."""
+    more = [F.col(limbs).alias("limbs")] if limbs else []
+    rows = df.where(F.col(time).isNotNull()).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], walks.micros(df, time).alias("t"), F.col(id_col).cast("long").alias("id"), *more)
+    apart = walks.sessions(rows, [f"k{i}" for i in range(len(keys))], int(window * 1e6))
+    return walks.streamed(apart.select("session", "t", "id", *["limbs"] * bool(limbs)), walks.burst_walk(int(window * 1e6), least, most_bits), "id long, burst long, size long, span double")
 
 
 def trailing_count(df: DataFrame, key: str, time: str, seconds: int, out: str = "n_recent") -> DataFrame:
@@ -114,23 +99,12 @@ def trailing_count(df: DataFrame, key: str, time: str, seconds: int, out: str =
 
 def admitted(df: DataFrame, key: str, time: str, id_col: str, limit: int, seconds: int = 3600) -> DataFrame:
     """The limiter's exact rule: a hit counts if fewer than `limit` admitted ones lie in the trailing window; refused
-    hits don't count. Rows (key, id, ok, retry_after in seconds). One key's hits are walked in order."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, id_col], kind="stable")
-        t = pdf[time].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        kept, head, rows = [], 0, []
-        for k, i, x in zip(pdf[key], pdf[id_col], t):
-            while head < len(kept) and kept[head] <= x - seconds:
-                head += 1
-            ok = len(kept) - head < limit
-            rows.append((k, i, ok, 0 if ok else int(-(-(kept[head] + seconds - x) // 1))))
-            if ok:
-                kept.append(x)
-        return pd.DataFrame(rows, columns=[key, "id", "ok", "retry_after"])
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, id_col, time).groupBy(key).applyInPandas(one, f"{key} {kind}, id long, ok boolean, retry_after long")
+    hits don't count. Rows (key, id, ok, retry_after in seconds). A key's hits are walked in sessions; a task holds the hits that
+    still count. Hits without a time are left out."""
+    rows = df.where(F.col(time).isNotNull()).select(F.col(key).alias("k0"), walks.micros(df, time).alias("t"), F.col(id_col).cast("long").alias("id"))
+    apart = walks.sessions(rows, ["k0"], seconds * 1_000_000)
+    out = walks.streamed(apart.select("session", "t", "id", "k0"), walks.limit_walk(limit, seconds), f"key {dict(df.dtypes)[key]}, id long, ok boolean, retry_after long")
+    return out.withColumnRenamed("key", key)
 
 
 def tumbling(df: DataFrame, key: str, time: str, width: str, limit: int) -> DataFrame:
