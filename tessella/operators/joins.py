@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import looks_alike
-from ..functions.values import overlap_area
+from ..functions.values import hamming, overlap_area
 from . import intervals, vectors
 
 #: A side is broadcast if it is at most this many rows; beyond that the equi-join is shuffled.
@@ -96,6 +96,22 @@ def nearest_hash(queries: DataFrame, refs: DataFrame, distance: Column, most: in
     return in_blocks(refs, "r_id", block).groupBy("q_id").agg(F.min("x").alias("x")).select("q_id", "x.r_id", "x.d")
 
 
+def nearest_hash_by_bands(queries: DataFrame, refs: DataFrame, most: int, n: int = 1) -> DataFrame:
+    """(q_id, r_id, d): the closest ref (r_id, y) of each query (q_id, x) within `most` bits; x and y are arrays of n 64-bit values, the smaller
+    r_id of equals. Their bits are dealt in turn to most + 1 bands, of which two hashes within `most` bits share one: an equi-join,
+    over different hashes only."""
+    bands = most + 1
+    masks = [sum(1 << b for b in range(64) if (b + 64 * limb) % bands == i) for i in range(bands) for limb in range(n)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    key = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("band"), *[F.get(c, F.lit(k)).bitwiseAND(F.lit(signed[i * n + k]).cast("long")).alias(f"p{k}") for k in range(n)]) for i in range(bands)])).alias("b")
+    parts = ["band", *[f"p{k}" for k in range(n)]]
+    q = queries.select("x").distinct().select("x", key(F.col("x"))).select("x", "b.*")
+    r = refs.groupBy("y").agg(F.min("r_id").alias("r_id")).select("y", "r_id", key(F.col("y"))).select("y", "r_id", "b.*")
+    d = q.join(r, parts).select("x", "r_id", hamming(F.col("x"), F.col("y"), n).alias("d")).where(F.col("d") <= most)
+    best = d.groupBy("x").agg(F.min(F.struct("d", "r_id")).alias("b"))
+    return queries.join(best, "x").select("q_id", "b.r_id", "b.d")
+
+
 def exact_then_near(rows: DataFrame, by_hash: DataFrame, pending: DataFrame, near: DataFrame, id_col: str, sha: str) -> DataFrame:
     """The known row with the same hash, else the pending one, else the near one; and which it was."""
     j = rows.join(by_hash.select(F.col("sha").alias("__h"), F.col("id").alias("exact_id")), rows[sha] == F.col("__h"), "left")

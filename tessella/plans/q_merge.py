@@ -1,9 +1,11 @@
 """Merges, replays, states, duplicates, vectors, exports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import aggregates, cluster, graph, joins, merge
+from ..operators import aggregates, cluster, deltas, graph, joins, merge, versions
 from ..session import spread
 from ..sources import files
 from .registry import query
@@ -122,10 +124,52 @@ def expired(t):
     return merge.expired(t.events, "ts", "2024-01-05 00:00:00").select("event_id")
 
 
-@query("ops3_live_requests", "select c_custkey from customer where c_custkey > 700 and lower(c_mktsegment || c_nationkey) not in (select lower(c_mktsegment || c_nationkey) from customer where c_custkey <= 60 and c_acctbal > 0)")
+@query("ops3_live_requests", "select c_custkey from customer where c_mktsegment > 'BUILDING' and c_nationkey not in (select c_nationkey from customer where c_mktsegment <= 'BUILDING' and c_acctbal > 9500)")
 def live_requests(t):
-    c = t.customer.select("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("email"), F.when(F.col("c_acctbal") > 0, F.to_timestamp(F.lit("2030-01-01"))).otherwise(F.to_timestamp(F.lit("2000-01-01"))).alias("expires"))
-    return merge.live_request(c.where("c_custkey > 700"), c.where("c_custkey <= 60"), "email", "expires", "2024-01-01").select("c_custkey")
+    """Requests of two segments are there already, live or expired; of the others each is asked for unless its nation has a live one."""
+    c = t.customer.select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("email"), F.when(F.col("c_acctbal") > 9500, F.to_timestamp(F.lit("2030-01-01"))).otherwise(F.to_timestamp(F.lit("2000-01-01"))).alias("expires"))
+    return merge.live_request(c.where("c_mktsegment > 'BUILDING'"), c.where("c_mktsegment <= 'BUILDING'"), "email", "expires", "2024-01-01").select("c_custkey")
+
+
+def _versioned(t):
+    """Orders as a versioned table: created, then changed by what was edited since, then without the orders of one status."""
+    ours, theirs = _sides(t)
+    table = versions.VersionedTable(t.spark, f"{graph.shared_folder(t.spark)}/orders-{uuid.uuid4().hex}", ["o_orderkey"])
+    table.create(ours)
+    table.upsert(theirs.where("edited is not null"), newer="edited")
+    return table
+
+
+@query(
+    "str11_snapshot_upsert",
+    f"""with {_SIDES} select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when b.edited is null or b.edited <= a.edited then a.o_orderstatus else 'X' end as o_orderstatus, case when b.edited is null or b.edited <= a.edited then a.edited else b.edited end as edited
+    from ours a full join (select * from theirs where edited is not null) b on a.o_orderkey = b.o_orderkey where not (a.o_orderkey is null and b.edited is null)""",
+)
+def snapshot_upsert(t):
+    return _versioned(t).read()
+
+
+@query("str20_maintained", "select o_custkey, count(*) as n, cast(sum(o_orderkey) as bigint) as keys, min(o_totalprice) as least, max(o_totalprice) as most from orders where o_orderstatus = 'P' or o_orderpriority <> '5-LOW' group by 1")
+def maintained(t):
+    """Figures by customer, kept up by deltas: orders of low priority are taken out of what was there, pending ones are added."""
+    o = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    held, low = F.col("o_orderstatus") != "P", F.col("o_orderpriority") == "5-LOW"
+    ends = {"min": "o_totalprice", "max": "o_totalprice"}
+    view = graph.kept_table(deltas.built(o.where(held), ["o_custkey"], ["o_orderkey"], ends), "view")
+    changes = o.where(held & low).withColumn("sign", F.lit(-1)).unionByName(o.where(~held).withColumn("sign", F.lit(1)))
+    now = o.where(~(held & low))
+    refill = lambda keys: now.join(keys.withColumnRenamed("o_custkey", "k"), F.col("o_custkey") == F.col("k"), "left_semi")
+    out = deltas.folded(view, changes, ["o_custkey"], ["o_orderkey"], ends, refill)
+    return out.select("o_custkey", "n", F.col("sum_o_orderkey").alias("keys"), F.col("min_o_totalprice").alias("least"), F.col("max_o_totalprice").alias("most"))
+
+
+@query("str16_snapshot_undo", f"with {_SIDES} select * from ours")
+def snapshot_undo(t):
+    """A delete and the upsert undone: the last version is the first again."""
+    table = _versioned(t)
+    table.delete(t.orders.where("o_orderstatus = 'F'").select("o_orderkey"))
+    table.undo(0)
+    return table.read()
 
 
 @query("ops8_decided", "select o_orderkey, case when o_orderkey % 10 = 0 then 'junk' when o_orderkey % 10 = 1 then 'keep' else 'untriaged' end as status, o_orderkey % 10 = 0 as is_deleted, case when o_orderkey % 10 < 2 then 2 else 1 end as version from orders")

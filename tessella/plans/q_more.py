@@ -45,18 +45,18 @@ def best_layer(t):
 def nearest_hash(t):
     q = t.part.select(F.col("p_partkey").alias("q_id"), F.array(F.col("p_partkey") * 7919).alias("x"))
     r = t.supplier.select(F.col("s_suppkey").alias("r_id"), F.array(F.col("s_suppkey") * 7919).alias("y"))
-    return joins.nearest_hash(q, r, values.hamming(F.col("x"), F.col("y"), 1), 3).select("q_id", "r_id", F.col("d").cast("long").alias("d"))
+    return joins.nearest_hash_by_bands(q, r, 3).select("q_id", "r_id", F.col("d").cast("long").alias("d"))
 
 
-@query("join7_exact_then_near", """with known as (select text, n_chars * 7919 as h, doc_id as r from documents where doc_id < 100), q as (select doc_id, text, n_chars * 7919 as h from documents where doc_id >= 100),
-e as (select text, min(r) as e from known group by 1), d as (select doc_id, r, bit_count(xor(q.h, known.h)) as d from q, known), n as (select doc_id, arg_min(r, (d, r)) as near from d where d <= 2 group by 1)
+@query("join7_exact_then_near", """with known as (select text, n_chars * 7919 as h, doc_id as r from documents where source < 'src2'), q as (select doc_id, text, n_chars * 7919 as h from documents where source >= 'src2'),
+e as (select text, min(r) as e from known group by 1), u as (select h, min(r) as r from known group by 1), d as (select doc_id, r, bit_count(xor(q.h, u.h)) as d from q, u), n as (select doc_id, arg_min(r, (d, r)) as near from d where d <= 2 group by 1)
 select doc_id, coalesce(e, near) as duplicate_of, case when e is not null then 'exact' when near is not null then 'near' end as how from q left join e using (text) left join n using (doc_id)""")
 def exact_then_near(t):
-    d = t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.array(F.col("n_chars") * 7919).alias("h"))
-    known, asked = d.where("doc_id < 100"), d.where("doc_id >= 100")
+    d = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("sha"), F.array(F.col("n_chars") * 7919).alias("h"))
+    known, asked = d.where("source < 'src2'"), d.where("source >= 'src2'")
     exact = known.groupBy("sha").agg(F.min("doc_id").alias("id"))
-    near = joins.nearest_hash(asked.select(F.col("doc_id").alias("q_id"), F.col("h").alias("x")), known.select(F.col("doc_id").alias("r_id"), F.col("h").alias("y")), values.hamming(F.col("x"), F.col("y"), 1), 2)
-    return joins.exact_then_near(asked, exact, exact.where("false"), near, "doc_id", "sha").select("doc_id", "duplicate_of", "how")
+    near = joins.nearest_hash_by_bands(asked.select(F.col("doc_id").alias("q_id"), F.col("h").alias("x")), known.select(F.col("doc_id").alias("r_id"), F.col("h").alias("y")), 2)
+    return joins.exact_then_near(asked.drop("source"), exact, exact.where("false"), near, "doc_id", "sha").select("doc_id", "duplicate_of", "how")
 
 
 @query("join5_brute_pairs", "select a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b on a.s_suppkey < b.s_suppkey where bit_count(xor(a.s_suppkey, b.s_suppkey)) <= 2")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql, text, values
 from ..operators import cluster, graph, joins, merge, predicates, windows
-from ..sources import files
+from ..sources import datasource, files
 from .registry import query
 
 
@@ -105,12 +105,25 @@ def two_pages(t):
     return first.unionByName(merge.changes_since(e, "ts", "event_id", (str(last.ts), last.event_id), 200))
 
 
-@query("str21_rebuilt", "select o_custkey, count(*) as n from orders group by 1")
+@query("str21_rebuilt", """with full_view as (select o_custkey, count(*) as n from orders group by 1), old as (select o_custkey, count(*) as n from orders where o_orderstatus <> 'F' group by 1), stale as (select distinct o_custkey from orders where o_orderpriority = '1-URGENT')
+select o_custkey, f.n from full_view f where o_custkey in (select o_custkey from stale) union all select o_custkey, n from old where o_custkey not in (select o_custkey from stale)""")
 def rebuilt(t):
+    """Keys that are told to be stale are rebuilt, the others keep what they have."""
     view = lambda o: o.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    old = view(t.orders.where("o_orderkey % 3 = 0"))
-    keys = old.select("o_custkey").union(t.orders.select("o_custkey")).distinct()
-    return merge.refreshed(old, keys, view(t.orders), "o_custkey")
+    return merge.refreshed(view(t.orders.where("o_orderstatus <> 'F'")), t.orders.where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct(), view(t.orders), "o_custkey")
+
+
+@query("src14_line_source", "select cast(cast(ts as date) as varchar) as day, event_type, count(*) as n, min(event_id) as first from events where event_type <> 'error' group by 1, 2")
+def line_source(t):
+    """Events as lines in folders by day, read again by the line source."""
+    from uuid import uuid4
+
+    path = f"{graph.shared_folder(t.spark)}/lines-{uuid4().hex}"
+    lines = t.events.select(F.to_date("ts").cast("string").alias("day"), F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    lines.repartition("day").write.partitionBy("day").text(path)
+    datasource.register(t.spark)
+    found = t.spark.read.format("line_json").schema("day string, event_id long, event_type string").option("path", path).option("suffix", ".txt").load()
+    return found.where("event_type <> 'error'").groupBy("day", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
 @query("src12_manifest", "select 'c' || c_custkey as file, o_orderkey as group_id from customer join orders on o_custkey = c_custkey")

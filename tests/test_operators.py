@@ -462,3 +462,24 @@ def test_jobs_registry(spark):
     job = collect.register(collect.Job("double", lambda s: s.range(4), lambda it: (p.assign(id=p.id * 2, error=None) for p in it), "id long", lambda df: done.extend(r.id for r in df.collect())))
     job.go(spark)
     assert sorted(done) == [0, 2, 4, 6] and collect.REGISTRY["double"] is job
+
+
+@pytest.mark.parametrize("most,n", [(0, 1), (3, 1), (10, 4)])
+def test_nearest_hash_by_bands_equals_all_pairs(spark, most, n):
+    rnd = random.Random(most)
+    base = [[rnd.getrandbits(64) - (1 << 63) for _ in range(n)] for _ in range(25)]
+
+    def near(h):
+        out = list(h)
+        for _ in range(rnd.randrange(most + 3)):
+            bit = 1 << rnd.randrange(64)
+            k = rnd.randrange(n)
+            x = (out[k] & (1 << 64) - 1) ^ bit
+            out[k] = x - (1 << 64) if x >> 63 else x
+        return out
+
+    q, r = [(i, near(base[i % 25])) for i in range(80)], [(i, near(base[i % 25])) for i in range(60)] + [(99, None)]
+    bits = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+    want = {i: d for i, x in q for d in [min((bits(x, y), k) for k, y in r if y)] if d[0] <= most}
+    got = joins.nearest_hash_by_bands(spark.createDataFrame(q, "q_id int, x array<long>"), spark.createDataFrame(r, "r_id int, y array<long>"), most, n)
+    assert {x.q_id: (x.d, x.r_id) for x in got.collect()} == want
