@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from ..sources.snapshots import Snapshots
 
 POSTING = "lexeme string, weight string, row_id long, positions array<int>"
+#: A directory of up to so many files is kept by the driver.
+HELD = 10_000
 _DIRECTORY = "file string, first string, last string, n long"
 
 
 class Postings:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.log = spark, Snapshots(spark, root)
+        self._held: dict[str, list] = {}  # directories of up to HELD files, by path: they never change
 
     def _store(self, postings: DataFrame) -> dict:
         """Writes sorted postings and their directory."""
@@ -55,7 +58,12 @@ class Postings:
 
     def files(self, segment: dict, lexemes: list[str]) -> list[str]:
         """The files of a segment that may hold one of the lexemes."""
-        directory = self.spark.read.schema(_DIRECTORY).parquet(segment["directory"])
+        path = segment["directory"]
+        directory = self.spark.read.schema(_DIRECTORY).parquet(path)
+        if path not in self._held and directory.limit(HELD + 1).count() <= HELD:
+            self._held[path] = directory.collect()
+        if path in self._held:
+            return [r.file for r in self._held[path] if any(r.first <= x <= r.last for x in lexemes)]
         may = reduce(Column.__or__, [F.lit(x).between(F.col("first"), F.col("last")) for x in lexemes])
         return [r.file for r in directory.where(may).select("file").collect()]  # names of files only
 

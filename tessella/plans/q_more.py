@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import aggregates, graph, joins, merge, paging, predicates
+from ..operators import aggregates, graph, joins, merge, paging, predicates, sketches
 from ..sources import files
 from .registry import query
 
@@ -174,8 +174,17 @@ def rules(t):
 
 @query("fx21_levels", "select l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 4) as low, round(quantile_cont(l_extendedprice, 0.5), 4) as mid, round(quantile_cont(l_extendedprice, 0.99), 4) as high from lineitem group by 1")
 def levels(t):
-    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
-    return t.lineitem.groupBy("l_returnflag").agg(p(0.01).alias("low"), p(0.5).alias("mid"), p(0.99).alias("high"))
+    rows = t.lineitem.select("l_returnflag", "l_extendedprice")
+    each = [sketches.exact_level(rows, ["l_returnflag"], "l_extendedprice", q).select("l_returnflag", F.round("level", 4).alias(name)) for name, q in (("low", 0.01), ("mid", 0.5), ("high", 0.99))]
+    return each[0].join(each[1], "l_returnflag").join(each[2], "l_returnflag")
+
+
+@query("fx21_sketched")
+def sketched_levels(t):
+    """Levels and distinct orders of each flag from sketches by day: within their error, see the tests."""
+    daily = sketches.sketched(t.lineitem.select("l_returnflag", F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_extendedprice"), ["l_returnflag", "day"], ["l_orderkey"], ["l_extendedprice"])
+    q = lambda p: sketches.level("kll_l_extendedprice", p)
+    return sketches.merged(daily, ["l_returnflag"]).select("l_returnflag", "n", sketches.distinct_count("hll_l_orderkey").alias("orders"), q(0.01).alias("low"), q(0.5).alias("mid"), q(0.99).alias("high"))
 
 
 @query("src18_ordered_dump", "select c_custkey, c_name from customer order by c_custkey")

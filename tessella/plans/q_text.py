@@ -337,24 +337,22 @@ select doc_id, 1, s - case when lo >= date '1960-01-01' and hi <= date '1961-12-
 select doc_id as row_id, cast(sum(b) as bigint) as score from (select doc_id, ix, max(score) as b from hits where score is not null group by 1, 2) group by 1 having count(*) = 2 order by 2 desc, 1 desc limit 50"""
 
 
-#: Roots of the indexes that this application has built, by what they were built from.
-_INDEXES: dict[tuple, str] = {}
+#: The indexes that this application has built, by what they were built from.
+_INDEXES: dict[tuple, Postings] = {}
 
 
-def _indexed(t):
+def build_index(t):
     """The documents with their inverted index, built once for an application and a state of the table."""
     s, path = _sources(t), f"{t.path}/documents.parquet"
     key = (t.spark.sparkContext.applicationId, path, stamp(t.spark, path))
     if key not in _INDEXES:
-        root = f"{graph.shared_folder(t.spark)}/postings-{uuid.uuid4().hex}"
-        search.indexed(s, root)
-        _INDEXES[key] = root
-    return dataclasses.replace(s, postings=Postings(t.spark, _INDEXES[key]))
+        _INDEXES[key] = search.indexed(s, f"{graph.shared_folder(t.spark)}/postings-{uuid.uuid4().hex}").postings
+    return dataclasses.replace(s, postings=_INDEXES[key])
 
 
 @query("search_ranked", _HITS)
 def ranked(t):
-    return search.search(_indexed(t), "worthless 1960-1961").select("row_id", "score")
+    return search.search(build_index(t), "worthless 1960-1961").select("row_id", "score")
 
 
 @query("search_scanned", _HITS)
@@ -371,7 +369,7 @@ def scanned(t):
     select doc_id as row_id, round(class + r / (1 + r) / 9, 9) as score from r order by 2 desc, 1 desc limit 50""",
 )
 def rank_in_class(t):
-    hits = search.index_hits(dataclasses.replace(_indexed(t), within=True), [search.Term(0, "worthless idiot")])
+    hits = search.index_hits(dataclasses.replace(build_index(t), within=True), [search.Term(0, "worthless idiot")])
     return hits.select("row_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), F.desc("row_id")).limit(50)
 
 
@@ -390,7 +388,7 @@ page as (select * from hits where a is not null order by a + b desc, doc_id desc
 cut as (select *, greatest(strpos(lower(text), 'worthless') - 30, 1) as x, least(strpos(lower(text), 'worthless') + 70, length(text) + 1) as y from page)
 select doc_id as row_id, cast(a + b as bigint) as score, 'Mentioned in its text (' || case a when 70 then 'b' else 'd' end || '); Dated ' || label as why, case when contains(lower(text), 'worthless') then case when x > 1 then '…' else '' end || trim(substr(text, x, y - x)) || case when y <= length(text) then '…' else '' end end as snippet from cut""")
 def explained(t):
-    s = _indexed(t)
+    s = build_index(t)
     page = search.search(s, "worthless 1960 to 1969", 20)
     return search.explained(page, s, "worthless 1960 to 1969", "text").select("row_id", "score", F.array_join("why", "; ").alias("why"), "snippet")
 
