@@ -105,3 +105,22 @@ def test_likely_owners(spark):
             want[c] = (owner, round(d, 6))
     got = {r.cluster: (r.owner, round(r.distance, 6)) for r in catalog.QUERIES["set14_likely_owners"](spark, SF).collect()}
     assert got == want
+
+
+def test_probed_neighbours_are_mostly_the_nearest(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    x = {r.vec_id: np.array(r.embedding, float) for r in rows}
+    want = {(q, i) for q in x if q % 50 == 0 for _, i in sorted((round(1 - float(x[q] @ y) / np.linalg.norm(x[q]) / np.linalg.norm(y), 9), i) for i, y in x.items())[:5]}
+    got = {(r.query_id, r.ref_id) for r in catalog.QUERIES["join8_probed"](spark, SF).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_sketched_levels_are_near_the_exact_ones(spark):
+    rows = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_returnflag", "l_extendedprice", "l_orderkey").collect():
+        rows[r[0]].append((r[1], r[2]))
+    for r in catalog.QUERIES["fx21_sketched"](spark, SF).collect():
+        prices = np.sort([p for p, _ in rows[r.l_returnflag]])
+        assert r.n == len(prices) and abs(r.orders - len({o for _, o in rows[r.l_returnflag]})) <= 0.05 * r.orders
+        for level, q in ((r.low, 0.01), (r.mid, 0.5), (r.high, 0.99)):
+            assert abs(np.searchsorted(prices, level) / len(prices) - q) <= 0.01
