@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import sql, text, values
 from ..operators import cluster, graph, joins, merge, predicates, windows
 from ..sources import datasource, files
+from ..streaming import keyed
 from .registry import query
 
 
@@ -78,14 +79,37 @@ def by_centroid(t):
     return cluster.by_centroid(t.embeddings.select("label", "vec_id", "embedding"), "label", "vec_id", "embedding").select("label", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("ops1_admitted", """with recursive e as (select user_id, event_id, ts, epoch_us(ts) / 1e6 as s, row_number() over (partition by user_id order by ts, event_id) as i from events),
+_ADMITTED = """with recursive e as (select user_id, event_id, ts, epoch_us(ts) / 1e6 as s, row_number() over (partition by user_id order by ts, event_id) as i from events),
 walk as (select user_id, event_id, i, s as a, null::double as b, null::double as c, true as ok, 0::bigint as retry_after from e where i = 1
 union all select e.user_id, e.event_id, e.i, case when w.c is null or w.c <= e.s - 86400 then e.s else w.a end, case when w.c is null or w.c <= e.s - 86400 then w.a else w.b end, case when w.c is null or w.c <= e.s - 86400 then w.b else w.c end, w.c is null or w.c <= e.s - 86400, case when w.c is null or w.c <= e.s - 86400 then 0 else cast(ceil(w.c + 86400 - e.s) as bigint) end from walk w join e on e.user_id = w.user_id and e.i = w.i + 1)
-select user_id, event_id as id, ok, retry_after from walk""")
+select user_id, event_id as id, ok, retry_after from walk"""
+
+
+@query("ops1_admitted", _ADMITTED)
 def admitted(t):
     return windows.admitted(t.events, "user_id", "ts", "event_id", 3, 86400)
 
 
+@query("ops1_limited_stream", _ADMITTED)
+def limited_stream(t):
+    e = keyed.replayed(t.spark, f"{t.path}/events.parquet", t.events.schema)
+    return keyed.drained(keyed.limited(e, "user_id", "ts", "event_id", 3, 86400), "limited")
+
+
+@query("str3_once_stream", "select user_id, event_type, min(ts) as ts from events where (user_id, event_type) not in (select user_id, event_type from events where event_type = 'purchase' and value > 100) group by 1, 2")
+def once_stream(t):
+    """What a target holds starts the state; the rest comes through once a key."""
+    keys, seen = ["user_id", "event_type"], t.events.where("event_type = 'purchase' and value > 100").select("user_id", "event_type", "ts")
+    e = keyed.replayed(t.spark, f"{t.path}/events.parquet", t.events.schema).select(*keys, "ts")
+    return keyed.drained(keyed.once(e, keys, "ts", 10_000 * 86400, seen=seen), "once")
+
+
+@query("str5_newest_stream", "select user_id, max(ts) as ts from events group by 1")
+def newest_stream(t):
+    e = keyed.replayed(t.spark, f"{t.path}/events.parquet", t.events.schema).select("user_id", "ts")
+    return keyed.drained(keyed.newest(e, ["user_id"], "ts"), "newest")
+
+
 @query("fx17_aspect", "select l_orderkey, l_linenumber, l_partkey, abs(l_quantity - l_linenumber * 8) / greatest(l_quantity, l_linenumber * 8) <= 0.15 as close from lineitem")
 def aspect(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", values.aspect_close(F.col("l_quantity"), F.col("l_linenumber") * 8).alias("close"))
