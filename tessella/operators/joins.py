@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.text import looks_alike
+from ..functions.text import looks_alike, trigrams
 from ..functions.values import hamming, overlap_area
 from . import intervals, vectors
 
@@ -59,6 +59,23 @@ def exact_or_alike(terms: DataFrame, names: DataFrame, exact: int = 100, alike:
     return best.select("ix", "id", "b.token", (-F.col("b.below")).alias("rank"))
 
 
+def look_alike_pairs(words: DataFrame, least: float = 0.3) -> DataFrame:
+    """Pairs x < y of different words (column x) that look alike, from any number of them. Words whose trigrams are alike by
+    `least` share one of the rarest n - ceil(least n) + 1 of their n trigrams, when all order them alike; names that share their first
+    four letters meet by those. Both are equi-joins; what meets is then compared as a whole."""
+    w = words.select("x").where(F.col("x").isNotNull()).distinct().select("x", trigrams(F.col("x")).alias("grams"))
+    each = w.select("x", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "gram").groupBy("x").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("g"), F.first("n").alias("n"))
+    # the least possible overlap is a hair smaller, lest rounding drop a pair that just reaches it
+    share = F.greatest(F.ceil(F.col("n") * least - 1e-9), F.lit(1))
+    prefix = ranked.select("x", F.explode(F.slice("g", F.lit(1), (F.col("n") - share + 1).cast("int"))).alias("p")).select("x", F.concat(F.lit("g"), F.col("p.gram")).alias("key"))
+    starts = w.where(F.length("x") >= 5).select("x", F.concat(F.lit("s"), F.substring("x", 1, 4)).alias("key"))
+    keyed = prefix.unionByName(starts)
+    met = keyed.join(keyed.withColumnRenamed("x", "y"), "key").where("x < y").select("x", "y").distinct()
+    return met.where(looks_alike(F.col("x"), F.col("y"), least))
+
+
 def in_span(rows: DataFrame, lo: str, hi: str, spans: DataFrame, inside: int = 75, across: int = 67, few: int = 1_000) -> DataFrame:
     """Rows whose closed span overlaps that of a query (ix, q_lo, q_hi; null bounds are open), scored by containment. Few query
     spans are broadcast; more of them meet the rows by dyadic blocks of days."""

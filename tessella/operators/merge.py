@@ -202,11 +202,13 @@ def next_ids(rows: DataFrame, existing: DataFrame, id_col: str, order: list[Colu
 
     placed = kept_table(placed, "ids")
     sizes = {r[0]: r[1] for r in placed.groupBy("__p").count().collect()}
-    before, at = {}, start
+    before, at = [], start
     for p in sorted(sizes):
-        before[p], at = at, at + sizes[p]
-    base = F.coalesce(*[F.when(F.col("__p") == p, F.lit(b)) for p, b in before.items()]) if before else F.lit(start)
-    return placed.withColumn(id_col, (base + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__o", "__p", "__m")
+        before.append((p, at))
+        at += sizes[p]
+    # a row a partition: a table to join, since a branch a partition would make the expression as long as the job is wide
+    base = F.broadcast(rows.sparkSession.createDataFrame(before, "__p int, __b long"))
+    return placed.join(base, "__p").withColumn(id_col, F.col("__b") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__o", "__p", "__m", "__b")
 
 
 def above_floor(rows: DataFrame, id_col: str, floor: int) -> bool:

@@ -112,10 +112,26 @@ def tumbling(df: DataFrame, key: str, time: str, width: str, limit: int) -> Data
     return df.groupBy(key, w.alias("w")).count().select(key, F.col("w.start").alias("start"), F.col("count").alias("n"), (F.col("count") > limit).alias("over"))
 
 
+def places_within(df: DataFrame, kind: str, order: list[Column], name: str) -> DataFrame:
+    """Row numbers from 1 within each kind, in order, for kinds that may hold any share of the rows: a range sort deals a kind
+    to many tasks, a row's place in its task's part of the kind is told from the sorted run, and the sizes of the parts before are added. The
+    order has to be total, or equal rows take their numbers by chance. Nulls are a kind."""
+    from .graph import kept_table
+
+    n = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    placed = df.select("*", F.struct(F.col(kind).isNotNull().alias("k"), F.col(kind).alias("v")).alias("__k"), F.struct(*order).alias("__o"))
+    placed = placed.repartitionByRange(n, "__k", "__o").sortWithinPartitions("__k", "__o")
+    placed = kept_table(placed.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m")), "places")
+    parts = placed.groupBy("__k", "__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__f"))
+    before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return placed.join(parts, ["__k", "__p"]).withColumn(name, F.col("__b") + F.col("__m") - F.col("__f") + 1).select(*df.columns, name)
+
+
 def stratified(df: DataFrame, kind: str, id_col: str, per_kind: int, total: int) -> DataFrame:
     """Every k-th row of each kind, so that about `per_kind` are taken, dealt round-robin up to `total`."""
-    w = Window.partitionBy(kind)
-    df = df.withColumns({"__r": F.row_number().over(w.orderBy(id_col)), "__n": F.count("*").over(w)})
+    placed = places_within(df, kind, [F.col(id_col)], "__r")
+    sizes = df.groupBy(F.col(kind).alias("__kind")).agg(F.count("*").alias("__n"))
     step = F.greatest(F.floor(F.col("__n") / per_kind), F.lit(1))
-    taken = df.where((F.col("__r") - 1) % step == 0).withColumn("rank", F.row_number().over(w.orderBy("__r")))
-    return taken.where(F.col("rank") <= per_kind).orderBy("rank", kind).limit(total).drop("__r", "__n")
+    taken = placed.join(sizes, F.col(kind).eqNullSafe(F.col("__kind"))).where((F.col("__r") - 1) % step == 0).withColumn("rank", ((F.col("__r") - 1) / step + 1).cast("int"))
+    return taken.where(F.col("rank") <= per_kind).orderBy("rank", kind).limit(total).drop("__r", "__n", "__kind")

@@ -34,9 +34,7 @@ d as (select distinct x, g from g), n as (select x, count(*) as n from d group b
 
 @query("join2_look_alikes", f"with {_GRAMS} select p.x, p.y from p join n n1 on n1.x = p.x join n n2 on n2.x = p.y left join k on k.x = p.x and k.y = p.y where coalesce(c, 0) / (n1.n + n2.n - coalesce(c, 0)) >= 0.3 or (length(p.x) >= 5 and length(p.y) >= 5 and substr(p.x, 1, 4) = substr(p.y, 1, 4))")
 def look_alikes(t):
-    a = t.part.select(F.lower("p_type").alias("x")).distinct()
-    p = a.join(joins.bounded(a.select(F.col("x").alias("y"))), F.col("x") < F.col("y"))
-    return p.where(text.looks_alike(F.col("x"), F.col("y"))).select("x", "y")
+    return joins.look_alike_pairs(t.part.select(F.lower("p_type").alias("x")))
 
 
 @query("join19_assigned", """with f as (select c_nationkey as k, c_custkey as id, (c_custkey % 80) / 100.0::double as x, (c_custkey % 60) / 100.0::double as y from customer), r as (select s_nationkey as k, s_suppkey as rid, (s_suppkey % 70) / 100.0::double as x, (s_suppkey % 50) / 100.0::double as y from supplier),
