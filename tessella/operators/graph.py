@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +41,8 @@ def _band_masks(bands: int) -> list[list[int]]:
 def hamming_pairs(df: DataFrame, id_col: str, hexa: str, distance: int) -> DataFrame:
     """Pairs (a, b, distance) within `distance` <= 15 bits of 256; a row without a hash has none. The bits are dealt to distance + 1
     bands, of which two such hashes agree in one, so that an equi-join on bands misses none and a band is as wide as can be (23 bits for
-    ten: a hash meets one in eight million that are far from it). A pair counts in the first band that it agrees in, without a
-    shuffle to tell pairs apart; rows are deduplicated by hash first, so copies do not multiply in a band."""
+    ten: a hash meets one in eight million that are far from it). Rows are deduplicated by hash first, so copies do not
+    multiply in a band."""
     if not 0 <= distance <= 15:
         raise ValueError("bands are selective up to 15 bits; use brute_pairs beyond")
     h = df.select(F.col(id_col).cast("long").alias("id"), F.lower(hexa).alias("hex")).where(F.col("hex").isNotNull())
@@ -54,9 +53,7 @@ def hamming_pairs(df: DataFrame, id_col: str, hexa: str, distance: int) -> DataF
     rows = reps.select("rep", limbs(F.col("hex")).alias("l")).select("rep", "l", F.explode(keys).alias("k")).select("rep", "l", "k.band", "k.value")
     x, y = F.col("x.l"), F.col("y.l")
     near = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (hamming(x, y) <= distance))
-    unlike = lambda each: reduce(lambda a, b: a.bitwiseOR(b), [part(x, k, m).bitwiseXOR(part(y, k, m)) for k, m in enumerate(each)]) != 0
-    first = F.coalesce(*[F.when(~unlike(each), i) for i, each in enumerate(masks)])
-    near = near.where(F.col("x.band") == first).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), hamming(x, y).alias("distance"))
+    near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), hamming(x, y).alias("distance")).distinct()
     copies = h.join(reps, "hex").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     return near.unionByName(copies)
 
