@@ -93,7 +93,9 @@ def bursts(df: DataFrame, keys: list[str], time: str, id_col: str, window: float
 
 
 def trailing_count(df: DataFrame, key: str, time: str, seconds: int, out: str = "n_recent") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.unix_timestamp(time)).rangeBetween(-seconds, 0)
+    """Rows of the key in the trailing window, by times rounded to the nearest second, halves to the even one."""
+    at = F.rint(walks.micros(df, time) / 1e6).cast("long")
+    w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds, 0)
     return df.withColumn(out, F.count("*").over(w))
 
 
