@@ -7,6 +7,8 @@ once, by an equi-join on (level, block), however long spans are; open bounds rea
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +60,32 @@ def overlapping(rows: DataFrame, lo: str, hi: str, spans: DataFrame, q_lo: str =
         return rows.join(spans, F.lit(False))
     found = out[0] if len(out) == 1 else out[0].unionByName(out[1])
     return found.where(dates.overlaps(F.col(lo), F.col(hi), F.col(q_lo), F.col(q_hi)))
+
+
+def _up_to(days: DataFrame, asked: DataFrame, out: str) -> DataFrame:
+    """(day, out) for the days of `asked` (day): how many of `days` (day) are no later. Days are counted in dyadic blocks, of which an asked day
+    reads those that make up the time until its end; those that none precedes are left out."""
+    each = days.groupBy("day").agg(F.count("*").alias("n")).select("n", F.explode(around(F.col("day"), list(range(LEVELS + 1)))).alias("b"))
+    held = each.groupBy("b.level", "b.block").agg(F.sum("n").alias("n"))
+    cut = asked.distinct().select("day", F.explode(blocks(F.lit(0), F.col("day"))).alias("b")).select("day", "b.level", "b.block")
+    return cut.join(held, ["level", "block"]).groupBy("day").agg(F.sum("n").alias(out))
+
+
+def overlap_counts(rows: DataFrame, lo: str, hi: str, spans: DataFrame, q_lo: str = "q_lo", q_hi: str = "q_hi", out: str = "n") -> DataFrame:
+    """spans, whose rows must differ, with the number of rows that overlap them, those with none left out; null bounds are open. No pair is made: from the rows
+    that begin by a span's last day those that end before its first day are taken off. Where one ends before it begins, that doesn't
+    hold, and its pairs are joined."""
+    end = (1 << LEVELS) - 1
+    back = lambda a, b: _day(F.col(a), 0) > _day(F.col(b), end)
+    ahead, asked = rows.where(~back(lo, hi)), spans.withColumns({"__lo": _day(F.col(q_lo), 0), "__hi": _day(F.col(q_hi), end)})
+    begun = _up_to(ahead.select(_day(F.col(lo), 0).alias("day")), asked.select(F.col("__hi").alias("day")), "__begun")
+    gone = _up_to(ahead.select((_day(F.col(hi), end) + 1).alias("day")), asked.select(F.col("__lo").alias("day")), "__gone")
+    n = F.col("__begun") - F.coalesce("__gone", F.lit(0))
+    met = asked.where("__lo <= __hi").join(begun.withColumnRenamed("day", "__hi"), "__hi").join(gone.withColumnRenamed("day", "__lo"), "__lo", "left")
+    found = [met.select(*spans.columns, n.alias(out))]
+    for some, others in ((rows.where(back(lo, hi)), spans), (ahead, spans.where(back(q_lo, q_hi)))):
+        if not (some if others is spans else others).isEmpty():
+            found.append(overlapping(some.select(lo, hi), lo, hi, others, q_lo, q_hi).groupBy(*spans.columns).agg(F.count("*").alias(out)))
+    if len(found) == 1:
+        return found[0].where(F.col(out) > 0)
+    return reduce(DataFrame.unionByName, found).groupBy(*spans.columns).agg(F.sum(out).alias(out)).where(F.col(out) > 0)

@@ -34,7 +34,7 @@ def many_intervals(t):
     d = lambda n: F.date_add(F.to_date(F.lit("1992-01-01")), n.cast("int"))
     e = F.col("event_id")
     spans = t.events.select("event_id", d(e % 2400).alias("q_lo"), d(e % 2400 + e % 30).alias("q_hi"))
-    return intervals.overlapping(_dated(t), "lo", "hi", spans).groupBy("event_id").agg(F.count("*").alias("n"))
+    return intervals.overlap_counts(_dated(t), "lo", "hi", spans).groupBy("event_id").agg(F.sum("n").alias("n"))
 
 
 @query("join10_predecessor", "select l_orderkey, l_linenumber, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as front from lineitem")
