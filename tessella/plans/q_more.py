@@ -95,10 +95,7 @@ def superseded(t):
 def region_problems(t):
     c = F.col("c_custkey")
     r = t.customer.select(F.col("c_nationkey").alias("k"), c.alias("id"), values.box(c % 90 / 100.0, c % 70 / 100.0, F.lit(0.2), F.lit(0.2)).alias("b"))
-    a, b = r.alias("a"), r.alias("z")
-    area = lambda x: F.col(f"{x}.b.w") * F.col(f"{x}.b.h")
-    p = a.join(b, (F.col("a.k") == F.col("z.k")) & (F.col("a.id") < F.col("z.id"))).where(values.overlap_area(F.col("a.b"), F.col("z.b")) > 0.02 * F.least(area("a"), area("z")))
-    p = p.groupBy(F.col("a.k").alias("k")).agg(F.count("*").alias("n"))
+    p = joins.overlapping_pairs(r, "k", "b", 0.02)
     g = r.groupBy("k").agg((F.count("*") < 2).alias("too_few"), F.bool_or((F.col("b.x") + F.col("b.w") > 1) | (F.col("b.y") + F.col("b.h") > 1)).alias("outside"))
     return g.join(p, "k", "left").select("k", "too_few", "outside", F.coalesce("n", F.lit(0)).alias("overlapping"))
 
