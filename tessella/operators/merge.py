@@ -148,9 +148,9 @@ def set_status(rows: DataFrame, ids: DataFrame, id_col: str, status: str, note:
     return j.select(*out), j.where(hit).select(*rows.columns)
 
 
-def accept(suggestions: DataFrame, facts: DataFrame, key: str, value: str) -> DataFrame:
-    """Accepted suggestions against facts: (key, value, current, outcome in applied, same, conflict)."""
-    s = suggestions.select(key, F.col(value).alias("value"))
+def accept(suggestions: DataFrame, facts: DataFrame, key: str, value: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Accepted suggestions against facts: (key, value, carried columns, current, outcome in applied, same, conflict)."""
+    s = suggestions.select(key, F.col(value).alias("value"), *carried)
     f = facts.select(F.col(key).alias("__k"), F.col(value).alias("current"))
     j = s.join(f, F.col(key) == F.col("__k"), "left").drop("__k")
     return j.withColumn("outcome", F.when(F.col("current").isNull(), "applied").when(F.col("current") == F.col("value"), "same").otherwise("conflict"))
