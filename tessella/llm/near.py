@@ -1,8 +1,9 @@
-"""Near-duplicates by five-word shingles: MinHash bands find candidates, exact Jaccard similarity decides.
+"""Near-duplicates by five-word shingles: SimHash and MinHash bands find candidates, exact Jaccard similarity decides.
 
 Texts are split into words, letters A-Z in lower case, and compared as sets of five-word shingles (shorter texts are one
 shingle of all their words; texts without words equal each other). 24 bands of five MinHashes each miss a pair at
-similarity 0.8 with a chance of 0.00007, and less above.
+similarity 0.8 with a chance of 0.00007, and less above. The components of operator 10, SimHashes linked within two bits by
+covering masks, are buckets as well.
 
 Only distinct texts are compared. A bucket's texts are not paired with each other: each is verified against one of them,
 the pivot, the smallest hash. By the triangle inequality of the Jaccard distance, two texts whose distances to the pivot differ by more than
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import WordHasher, components, mix, own_names, skew_join, text_or_empty, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
@@ -157,7 +159,8 @@ def links(texts: DataFrame) -> DataFrame:
     # bands in which the same texts meet are one bucket
     counted = written(counted.groupBy("n", "pivot", "who").agg(F.min("bucket").alias("bucket")).drop("who"), "counted")
     pairs = skew_join(keys, counted, "bucket", "n", keys.count(), "inner").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    pairs = written(pairs.distinct(), "pairs")
+    alike = simhash.grouped(texts, "node").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    pairs = written(pairs.unionByName(alike).distinct(), "pairs")
     candidates = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "candidates")
     some = F.broadcast(candidates) if candidates.count() * 64 <= BROADCAST_BYTES else candidates
     sets = written(_sets(texts.join(some, "node", "left_semi").dropDuplicates(["node"])), "sets")

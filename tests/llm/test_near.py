@@ -117,3 +117,11 @@ def test_simhash_keeps_a_row_of_each_component(spark):
     rows = [(None, a), (None, a), (None, b), (7, a[::-1]), (7, b[::-1])]
     df = simhash.representatives(spark.createDataFrame(rows, SCHEMA))
     assert sorted((r.doc_id or 0, r.text) for r in df.collect()) == sorted([(0, a), (0, b), (7, a[::-1]), (7, b[::-1])])
+
+
+def test_simhash_finds_near_copies_by_itself(spark, monkeypatch):
+    rows = [(2 * i + k, t) for i in range(6) for k, t in enumerate(variants(2, 400, 1, i))]
+    apart = lambda x, y: ((simhash.fingerprint(x) ^ simhash.fingerprint(y)) & (1 << 64) - 1).bit_count()
+    rows = [r for i in range(0, 12, 2) if apart(rows[i][1], rows[i + 1][1]) <= 2 for r in rows[i : i + 2]]
+    monkeypatch.setattr(near, "_buckets", lambda texts: texts.selectExpr("0L as bucket", "node").where("false"))
+    assert len(rows) > 2 and stage(spark, rows) == [(False, i) for i, _ in rows[::2]]
