@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .text import MARKED, PLAIN
+from .text import MARKED, NO_TOKEN, PLAIN
 
+_NO_TOKEN = NO_TOKEN.replace("'", "\\'")
 _DECADE = "cast(floor(year(d) / 10) * 10 as int)"
 FUNCTIONS = {
     "search_text(x string) returns string": f"translate(coalesce(x, ''), '{MARKED}', '{PLAIN}')",
-    "search_token(x string) returns string": f"nullif(trim(regexp_replace(translate(lower(x), '{MARKED}', '{PLAIN}'), '[^a-z0-9\\']+', ' ')), '')",
+    "search_token(x string) returns string": f"nullif(trim(array_join(split(translate(lower(x), '{MARKED}', '{PLAIN}'), '{_NO_TOKEN}'), ' ')), '')",
     "date_span(d date, precision string) returns struct<lo: date, hi: date>": f"""case when d is not null then named_struct(
         'lo', case precision when 'decade' then make_date({_DECADE}, 1, 1) when 'year' then make_date(year(d), 1, 1) when 'month' then cast(date_trunc('month', d) as date) else d end,
         'hi', case precision when 'decade' then make_date({_DECADE} + 9, 12, 31) when 'year' then make_date(year(d), 12, 31) when 'month' then last_day(d) else d end) end""",

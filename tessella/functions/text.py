@@ -12,6 +12,8 @@ from .metaphone import codes, double_metaphone
 #: Letters with marks and their plain forms.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšťūůűźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssstuuuzzz"
+#: What isn't in a search token, letter by letter: Java looks single letters up in one table, and ranges one after the other.
+NO_TOKEN = "[^abcdefghijklmnopqrstuvwxyz0123456789']+"
 STOP_WORDS = frozenset("a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so some than that the their them then there these they this to up was we were what when which who will with you your".split())
 
 
@@ -25,9 +27,11 @@ def unaccented(x: str) -> str:
 
 
 def search_token(x: Column) -> Column:
-    """Lower case without marks, anything but letters, digits and apostrophes one space; null if empty."""
-    folded = F.trim(F.regexp_replace(unaccent(F.lower(x)), "[^a-z0-9']+", " "))
-    return F.when(folded != "", folded)
+    """Lower case without marks, anything but letters, digits and apostrophes one space; null if empty. Split and joined, which takes a
+    fraction of the time of a replacement for each space; texts of ASCII have no marks to look up."""
+    low = F.lower(x)
+    plain = F.when(F.octet_length(low) == F.length(low), low).otherwise(unaccent(low))
+    return F.nullif(F.trim(F.array_join(F.split(plain, NO_TOKEN), " ")), F.lit(""))
 
 
 def search_text(x: Column) -> Column:
