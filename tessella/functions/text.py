@@ -14,6 +14,7 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēę
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssstuuuzzz"
 #: What isn't in a search token, letter by letter: Java looks single letters up in one table, and ranges one after the other.
 NO_TOKEN = "[^abcdefghijklmnopqrstuvwxyz0123456789']+"
+NO_WORD = NO_TOKEN.replace("'", "")
 STOP_WORDS = frozenset("a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so some than that the their them then there these they this to up was we were what when which who will with you your".split())
 
 
@@ -177,7 +178,7 @@ def stemmed(word: str) -> str:
 
 def lexemes(x: Column) -> Column:
     """Stems of a text's words without stop words, in order."""
-    words = F.filter(F.split(F.lower(unaccent(x)), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
+    words = F.filter(F.split(F.lower(unaccent(x)), NO_WORD), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
     return F.transform(words, stem)
 
 
