@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -66,19 +68,73 @@ def _spread_labels(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, columns
 
 
+#: Vectors of a block, at least and at most, and blocks unless that makes them smaller or larger. A vector goes to as many tasks as
+#: there are blocks, so up to BLOCKS blocks of the largest size what is shuffled grows as the table does.
+LEAST, MOST, BLOCKS = 4096, 1 << 16, 16
+#: Rows and columns of two blocks that are multiplied at once, and pairs that are looked at again at once.
+TILE, AGAIN = (1024, 8192), 1 << 16
+
+
+def _within(a: np.ndarray, b: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, near): the unit vectors of a that have any of b within the cut, and which. Single precision decides but for what its
+    rounding leaves open, which is multiplied again in double precision."""
+    slack = (a.shape[1] + 4) * 2.0**-23
+    s = a.astype(np.float32) @ b.astype(np.float32).T
+    near = s >= np.float32(1 - cut - slack)
+    rows = np.flatnonzero(near.any(axis=1))
+    near = near[rows]
+    i, j = np.nonzero(near & (s[rows] < 1 - cut + slack))
+    for lo in range(0, len(i), AGAIN):
+        x, y = i[lo : lo + AGAIN], j[lo : lo + AGAIN]
+        near[x, y] = 1 - np.einsum("ij,ij->i", a[rows[x]], b[y]) <= cut
+    return rows, near
+
+
+def _block_forest(t: pa.Table, cut: float) -> pa.Table:
+    """Edges (a, b) that connect what is within the cut between two blocks x and y, or within one."""
+    keys, block = t["key"].to_numpy(), t["block"].to_numpy()
+    u = np.frombuffer(b"".join(t["u"].to_pylist())).reshape(len(keys), -1)
+    x, y = t["x"][0].as_py(), t["y"][0].as_py()
+    first, second, root = np.flatnonzero(block == x), np.flatnonzero(block == y), list(range(len(keys)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for lo in range(0, len(first), TILE[0]):
+        own = first[lo : lo + TILE[0]]
+        for at in range(lo if x == y else 0, len(second), TILE[1]):
+            other = second[at : at + TILE[1]]
+            rows, near = _within(u[own], u[other], cut)
+            near[own[rows][:, None] == other[None, :]] = False
+            for near_to, nodes in zip(_spread_labels(near), (own[rows], other)):
+                has = np.flatnonzero(near_to >= 0)
+                for i, j in zip(own[rows[near_to[has]]].tolist(), nodes[has].tolist()):
+                    i, j = find(i), find(j)
+                    root[max(i, j)] = min(i, j)
+    to = np.array([find(i) for i in range(len(root))], int)
+    moved = np.flatnonzero((to != np.arange(len(to))) & (keys[to] != keys))
+    return pa.table({"a": pa.array(keys[to[moved]], pa.int64()), "b": pa.array(keys[moved], pa.int64())})
+
+
 def linked(index: Index, cut: float) -> DataFrame:
-    """(a, b): edges with the components of all pairs within the cut. Two vectors met in a task are linked by a forest, not by pairs."""
+    """(a, b): edges with the components of all pairs within the cut. Blocks of vectors meet, each with each, in a task; what a task
+    finds is linked by a forest, not by pairs."""
 
-    def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = q["query"].to_numpy(), v["key"].to_numpy()
-        rows, columns = _spread_labels((1 - np.stack(q["u"].to_numpy()) @ np.stack(v["u"].to_numpy()).T <= cut) & (a[:, None] != b[None, :]))
-        ids, label = np.concatenate([a, b]), np.concatenate([rows, columns])
-        own = np.flatnonzero(label >= 0)
-        return pd.DataFrame({"a": a[label[own]], "b": ids[own]}).query("a != b").drop_duplicates()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in u], pa.binary())], ["key", "u"])
 
-    return index.all_within(cut, pair, "a long, b long").distinct()
+    n = index.vectors.count()
+    k = max(1, min(-(-n // LEAST), max(BLOCKS, -(-n // MOST))))
+    packed = index.vectors.select("key", "u").mapInArrow(pack, "key long, u binary").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(k)).cast("int"))
+    each = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    pairs = each.select("key", "u", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return pairs.groupBy("x", "y").applyInArrow(lambda t: _block_forest(t, cut), "a long, b long").distinct()
 
 
 def linkage_in_rounds(members: DataFrame, cut: float, rounds: int = 500) -> DataFrame:
@@ -140,7 +196,7 @@ def clusters(df: DataFrame, id_col: str, vector: str, cut: float = 0.45, most: i
     cut again at `factor` of it, and so on. Nothing merges across components of the pairs within the cut, as two clusters that
     merge have such a pair; small components are clustered in one task each, large ones in rounds."""
     limit = IN_ONE_TASK if in_one_task is None else in_one_task
-    index = Index.build(df.select(F.col(id_col).cast("long").alias("key"), F.col(vector).alias("vector")))
+    index = Index.build(df.select(F.col(id_col).cast("long").alias("key"), F.col(vector).alias("vector")), cells=1, sample=8)  # all blocks meet
     found = components(kept_table(linked(index, cut), "linked"))
     each = index.vectors.select(F.col("key").alias("id"), "u").join(found, "id")
     alone = index.all_keys.select(F.col("key").alias("id")).join(found, "id", "left_anti").select("id", F.col("id").alias("cluster"))
