@@ -59,13 +59,15 @@ def fingerprint(w: Column) -> Column:
 
 
 def _blocks(fp: str, near: bool) -> Column:
-    """Structs (block, value); with `near`, also each value's neighbours of one and two bits."""
-    out, flips = [], sorted({1 << i | 1 << j for i in range(8) for j in range(8)}) if near else []
-    for b in range(BLOCKS):
-        value = F.shiftrightunsigned(fp, 8 * b).bitwiseAND(F.lit(255).cast("long"))
-        for flip in [0, *flips]:
-            out.append(F.struct(F.lit(b).alias("block"), value.bitwiseXOR(F.lit(flip).cast("long")).alias("value")))
-    return F.explode(F.array(*out)).alias("k")
+    """Structs (block, value); with `near`, also each value's neighbours of one and two bits: a few lambdas, since 296 written-out
+    structs weigh on the driver in every plan that holds them."""
+    flips = F.split(F.lit(",".join(map(str, [0, *sorted({1 << i | 1 << j for i in range(8) for j in range(8)})] if near else [0]))), ",").cast("array<bigint>")
+
+    def values(b: Column) -> Column:
+        value = F.call_function("shiftrightunsigned", F.col(fp), b * 8).bitwiseAND(F.lit(255).cast("long"))
+        return F.transform(flips, lambda flip: F.struct(b.alias("block"), value.bitwiseXOR(flip).alias("value")))
+
+    return F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), values))).alias("k")
 
 
 def _joined_shingles(w: Column) -> Column:

@@ -127,7 +127,8 @@ def links(distinct: DataFrame, radius: int = 2, tables: list[int] | None = None)
     if radius != 2:
         return edges.unionByName(_between_blocks(many, radius))
     free = [[1 << b for b in range(64) if not m >> b & 1] for m in kept]
-    clears = F.array(*[F.array(*[F.lit(_signed(x | y)).cast("long") for x, y in combinations_with_replacement(bits, 2)]) for bits in free])
+    # a text for each table instead of some 400 literals, which weigh on the driver
+    clears = F.array(*[F.split(F.lit(",".join(str(_signed(x | y)) for x, y in combinations_with_replacement(bits, 2))), ",").cast("array<bigint>") for bits in free])
     keyed = many.select("fp", F.explode(F.get(clears, F.col("t"))).alias("clear")).select("fp", "clear", F.col("fp").bitwiseAND(F.bitwise_not("clear")).alias("rest"))
     shared = keyed.groupBy("clear", "rest").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     star = shared.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a <> b")
