@@ -14,7 +14,7 @@ from math import ceil
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -64,24 +64,24 @@ class _Expiring(StatefulProcessor):
 class _Once(_Expiring):
     """Gives a key's earliest row of the batch in which it first appears."""
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        latest = int(initialState[AT].max())
-        self.keep((latest,), latest, False)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.kept.exists()
-        before = self.latest() if known else None
-        latest, first, at = before, None, None
-        for frame in rows:
-            times = frame[AT].to_numpy()
-            place = int(times.argmin())
-            latest = max(int(times.max()), times[place] if latest is None else latest)
-            if at is None or times[place] < at:
-                at, first = int(times[place]), frame.iloc[place : place + 1]
-        self.keep((int(latest),), int(latest), known)
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.keep((initialState[AT],), initialState[AT], False)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.kept.get()
+        before = kept[0] if kept else None
+        first, latest = None, before
+        for row in rows:
+            at = row[AT]
+            if first is None or at < first[AT]:
+                first = row
+            if latest is None or at > latest:
+                latest = at
+        if latest != before:
+            self.keep((latest,), latest, kept is not None)
         # a timer fires after its batch's rows, so that what it would drop is told here
-        if before is None or at > before + self.span * 1_000_000:
-            yield first.drop(columns=AT)
+        if before is None or first[AT] > before + self.span * 1_000_000:
+            yield first
 
 
 class _Newest(_Expiring):
@@ -139,7 +139,12 @@ def _stateful(stream: DataFrame, keys: list[str], time: str, late: str, each: St
     known = {c: f"c{i}" for i, c in enumerate(stream.columns)}
     rows = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in known.items()], _stamp(time))
     by = [known[k] for k in keys]
-    out = rows.groupBy(*by).transformWithStateInPandas(each, schema or rows.drop(AT).schema, "append", "EventTime", begun.toDF(*by, AT).groupBy(*by) if begun is not None else None)
+    start = begun.toDF(*by, AT).groupBy(*by) if begun is not None else None
+    if isinstance(each, _Once):
+        # a key has few rows, of which one goes on as it came: frames of a row each would cost more than the state
+        out = rows.groupBy(*by).transformWithState(each, rows.schema, "append", "EventTime", start).drop(AT)
+    else:
+        out = rows.groupBy(*by).transformWithStateInPandas(each, schema or rows.drop(AT).schema, "append", "EventTime", start)
     return out if schema else out.toDF(*stream.columns).withColumn(time, F.col(time).cast(stream.schema[time].dataType))
 
 
